@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, minhash
 
 _QUERIES = {
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE_SQL),
+    "op9_minhash_dedup": (minhash.op9_minhash_dedup, minhash.ORACLE_SQL),
 }
 
 
