@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash
+from . import decontaminate, minhash, packing
 
 _QUERIES = {
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE_SQL),
+    "op7_packing": (packing.op7_packing, None),
     "op9_minhash_dedup": (minhash.op9_minhash_dedup, minhash.ORACLE_SQL),
 }
 
