@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, minhash, packing, toxicity
+from . import decontaminate, embedding_dedup, minhash, packing, toxicity, url_filter
 
 _QUERIES = {
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE_SQL),
     "op3_toxicity": (toxicity.op3_toxicity, None),
+    "op5_url_filter": (url_filter.op5_url_filter, url_filter.ORACLE_SQL),
     "op7_packing": (packing.op7_packing, None),
     "op9_minhash_dedup": (minhash.op9_minhash_dedup, minhash.ORACLE_SQL),
     "op10_embedding_dedup": (embedding_dedup.op10_embedding_dedup, embedding_dedup.ORACLE_SQL),
