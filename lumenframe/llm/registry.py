@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, minhash, packing, toxicity, url_filter
+from . import decontaminate, embedding_dedup, minhash, packing, toxicity, url_filter, warc
 
 _QUERIES = {
+    "op1_warc_revisits": (warc.op1_warc_revisits, warc.ORACLE_SQL),
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE_SQL),
     "op3_toxicity": (toxicity.op3_toxicity, None),
     "op5_url_filter": (url_filter.op5_url_filter, url_filter.ORACLE_SQL),
