@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, minhash, packing, toxicity, url_filter, warc
+from . import decontaminate, embedding_dedup, html_text, minhash, packing, toxicity, url_filter, warc
 
 _QUERIES = {
     "op1_warc_revisits": (warc.op1_warc_revisits, warc.ORACLE_SQL),
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE_SQL),
     "op3_toxicity": (toxicity.op3_toxicity, None),
+    "op4_html_text": (html_text.op4_html_text, None),
     "op5_url_filter": (url_filter.op5_url_filter, url_filter.ORACLE_SQL),
     "op7_packing": (packing.op7_packing, None),
     "op9_minhash_dedup": (minhash.op9_minhash_dedup, minhash.ORACLE_SQL),
