@@ -36,8 +36,8 @@ def _blocks(dims: int, block: int) -> list[tuple[int, int]]:
     return [(a, min(dims, a + block)) for a in range(0, dims, block)]
 
 
-def _prepare(cosine: float, block: int, slab: float):
-    """A row for each vector, block and slab it goes to."""
+def _prepare(cosine: float, block: int, slab: float, kind: str):
+    """A row for each vector, block and slab it goes to, with its components as they came (`kind`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotations: dict[int, np.ndarray] = {}
@@ -49,12 +49,11 @@ def _prepare(cosine: float, block: int, slab: float):
                 out: list[tuple] = []
                 for dims in {len(v) for v in vectors}:
                     at = [k for k, v in enumerate(vectors) if len(v) == dims]
-                    x = np.array([vectors[k] for k in at], np.float64)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    raw = np.array([vectors[k] for k in at], kind)
                     if dims not in rotations:
                         rotations[dims] = rotation(dims)
-                    y = x @ rotations[dims]
-                    data = [np.concatenate([a, b]).tobytes() for a, b in zip(x, y, strict=True)]
+                    y = unit(raw) @ rotations[dims]
+                    data = [a.tobytes() for a in raw]
                     for b, (lo, hi) in enumerate(_blocks(dims, block)):
                         reach = np.sqrt(total * (hi - lo) / dims)
                         width = slab * reach
@@ -70,11 +69,18 @@ def _prepare(cosine: float, block: int, slab: float):
     return run
 
 
-def _pairs(cosine: float, block: int):
+def unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pairs(cosine: float, block: int, kind: str):
     """Link counts and a spanning forest of the links found in one tile of a slab. A pair is found in
     the slab that is its first vector's own going up the axis: own rows meet each other, and
     those that reach up into a slab meet its own rows."""
 
+    rotations: dict[int, np.ndarray] = {}
+
     def of(rows: list[tuple]) -> tuple[list, list]:
         dims, b, i, j = rows[0][1], rows[0][2], rows[0][4], rows[0][5]
         own = [r for r in rows if r[6] == i]
@@ -84,7 +90,13 @@ def _pairs(cosine: float, block: int):
         lo, hi = _blocks(dims, block)[b]
         ends = [e for _, e in _blocks(dims, block)]
         total = 2 - 2 * cosine + SLACK
-        load = lambda rs: np.frombuffer(b"".join(r[9] for r in rs), np.float64).reshape(len(rs), 2 * dims)
+        if dims not in rotations:
+            rotations[dims] = rotation(dims)
+
+        def load(rs: list[tuple]) -> np.ndarray:
+            x = unit(np.frombuffer(b"".join(r[9] for r in rs), kind).reshape(len(rs), dims))
+            return np.hstack([x, x @ rotations[dims]])
+
         x, y = load(own), load(other)
         here_x, here_y = np.array([r[8] for r in own]), np.array([r[8] for r in other])
         id_x, id_y = np.array([r[7] for r in own]), np.array([r[7] for r in other])
@@ -156,11 +168,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     rows without vec_id (component null, kept false). Rows that repeat a vec_id are one node whose
     equal vectors are no links; other columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>").alias("v"))
     # cast keeps NaN and infinities; x - x = 0 holds of finite numbers only
     sound = F.forall("v", lambda x: F.coalesce(x - x == 0, F.lit(False))) & F.exists("v", lambda x: x != 0)
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))).dropDuplicates(["vec_id", "label", "v"])
-    spread = written(good.select("vec_id", "label", "v").mapInArrow(_prepare(cosine, block, slab), "vec_id long, label long, dims int, block int, slab long, own boolean, data binary"), "slabs")
+    spread = written(good.select("vec_id", "label", "v").mapInArrow(_prepare(cosine, block, slab, kind), "vec_id long, label long, dims int, block int, slab long, own boolean, data binary"), "slabs")
     keys = ["label", "dims", "block", "slab"]
     sizes = spread.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiled = (
@@ -171,7 +184,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         .repartition(*keys, "i", "j")
         .sortWithinPartitions(*keys, "i", "j", "vec_id")
     )
-    found = written(tiled.mapInArrow(_pairs(cosine, block), "a long, b long, n long"), "links")
+    found = written(tiled.mapInArrow(_pairs(cosine, block, kind), "a long, b long, n long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     component = connected(found.filter("b is not null")).withColumnRenamed("node", "vec_id")
     known = counts.join(component, "vec_id", "left")
