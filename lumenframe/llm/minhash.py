@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ TILE, HUBS = 384, 3
 #: Standard errors by which the share of equal minima of a linked pair may fall short.
 ERRORS = 3.5
 #: Bits of the filter that tells the second scan which documents to keep.
-MOST_FILTER_BITS = 1 << 27
+MOST_FILTER_BITS = 1 << 25
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,8 +97,6 @@ def _sketches(n: int):
 
 
 def _sets(n: int, bits: np.ndarray):
-    size = np.int64(len(bits) * 8)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -113,20 +112,32 @@ def _sets(n: int, bits: np.ndarray):
     return run
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc_id, s) of the documents in wanted(doc_id), and few others: a filter of a fixed
-    size goes to the scan in place of a shuffle of all texts."""
-    count = wanted.count()
+def bit_filter(rows: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the places of the column's values, for scans that drop what is certainly not among
+    them. Its size follows the rows up to MOST_FILTER_BITS; beyond that it lets more through."""
+    count = rows.count()
     size = 1 << 16
     while size < min(16 * count, MOST_FILTER_BITS):
         size *= 2
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    words = wanted.select(at("doc_id").alias("at")).groupBy((F.col("at") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("v")).collect()
-    flags = np.zeros(size // 32, np.uint32)
-    for r in words:
-        flags[r["w"]] = r["v"]
-    source = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary"), at("doc_id").alias("at"))
-    return source.mapInArrow(_sets(n, flags.view(np.uint8)), "doc_id long, s array<long>")
+    at = F.pmod(F.xxhash64(column), F.lit(size))
+    words = rows.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v")).toPandas()
+    flags = np.zeros(size // 64, np.int64)
+    flags[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return flags.view(np.uint8)
+
+
+def filter_place(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of keys that are hashes themselves, in a bitmap over xxhash64 of them."""
+    return np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in np.ascontiguousarray(keys).view("V8").tolist()), np.uint64, len(keys)) % np.uint64(len(bits) * 8)
+
+
+def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, s) of the documents in wanted(doc_id), and few others: a filter of a fixed
+    size goes to the scan in place of a shuffle of all texts."""
+    bits = bit_filter(wanted, "doc_id")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits) * 8))
+    source = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary"), at.alias("at"))
+    return source.mapInArrow(_sets(n, bits), "doc_id long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
