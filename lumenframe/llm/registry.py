@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, html_text, minhash, packing, substring_dedup, toxicity, url_filter, warc
+from . import decontaminate, embedding_dedup, html_text, minhash, packing, quality, substring_dedup, toxicity, url_filter, warc
 
 _QUERIES = {
     "op1_warc_revisits": (warc.op1_warc_revisits, warc.ORACLE_SQL),
@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_url_filter": (url_filter.op5_url_filter, url_filter.ORACLE_SQL),
     "op6_substring_dedup": (substring_dedup.op6_substring_dedup, None),
     "op7_packing": (packing.op7_packing, None),
+    "op8_quality": (quality.op8_quality, None),
     "op9_minhash_dedup": (minhash.op9_minhash_dedup, minhash.ORACLE_SQL),
     "op10_embedding_dedup": (embedding_dedup.op10_embedding_dedup, embedding_dedup.ORACLE_SQL),
 }
