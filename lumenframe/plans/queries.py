@@ -44,7 +44,7 @@ def retrieve_ppr(spark, d):
     q = queries_of(spark, d, 1)
     n = S.codec_conf(_nodes(spark, d))
     seeded = G.ppr_seed(R.with_similarity(n, q))
-    ranked = _rounded(G.pagerank(seeded, G.edges_temporal(n), "seed", 0.5, 30), "pagerank").withColumnRenamed("pagerank", "score")
+    ranked = _rounded(G.pagerank(seeded, _edges_of(spark, d), "seed", 0.5, 30), "pagerank").withColumnRenamed("pagerank", "score")
     w = by_video().orderBy(F.desc("score"), "frame_idx")
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 8").select("video_id", "rank", "frame_idx", "score")
 
@@ -91,6 +91,10 @@ def scene_sparse(spark, d):
     return out.select("video_id", "query_id", "branch", "scene_id", "frame_idx", score.alias("score"))
 
 
+def _edges_of(spark, d):
+    return G.edges_temporal(_nodes(spark, d))
+
+
 QUERIES = {
     "packet_curve": lambda s, d: packet_curve(_packets(s, d)).select("video_id", "display_idx", "size"),
     "iframe_scene_id": lambda s, d: S.iframe_scene_id(frames(s, d)).select("video_id", "frame_idx", "iframe_scene_id"),
@@ -116,7 +120,7 @@ QUERIES = {
     "edges_dedup": lambda s, d: _edges(_dedup(_nodes(s, d))),
     "edges_block_diagonal": lambda s, d: _edges(G.edges_complete(_nodes(s, d), "label")),
     "edge_projection": lambda s, d: _rounded(G.edge_projection(_nodes(s, d), "label"), "ratio"),
-    "pagerank_static": lambda s, d: _rounded(G.pagerank(_nodes(s, d), G.edges_temporal(_nodes(s, d)), "action_score", 0.85, 60), "pagerank"),
+    "pagerank_static": lambda s, d: _rounded(G.pagerank(_nodes(s, d), _edges_of(s, d), "action_score", 0.85, 60), "pagerank"),
     "retrieve_hybrid": lambda s, d: R.hybrid(_scored(s, d, True), queries_of(s, d)),
     "retrieve_ppr": retrieve_ppr,
     "fallback_topk": lambda s, d: R.fallback(_scored(s, d)).select("video_id", "frame_idx", "rank"),
