@@ -89,13 +89,13 @@ def valid_interval(start: Column, end: Column) -> Column:
 
 
 def interval_distance(t: Column, start: Column, end: Column) -> Column:
-    return F.greatest(start - t, t - end, F.lit(0.0))
+    return F.when(t.isNotNull(), F.greatest(start - t, t - end, F.lit(0.0)))
 
 
 def interval_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     both = F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0))
     either = F.greatest(a1, b1) - F.least(a0, b0)
-    return F.when(either > 0, both / either).otherwise(F.lit(0.0))
+    return F.when(a0.isNull() | b0.isNull(), F.lit(None)).when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
 def verification_mode(action: Column) -> Column:
