@@ -2,7 +2,7 @@
 
 The block elements of a page are the nodes of a tree, each with the label "holds main text" or not. A
 node's potential is a naive Bayes ratio of its features (tag, class and id words, length, links,
-sentences); a potential for each parent and child, by the parent's tag, joins the labels. Sum-product
+sentences); a potential for each parent and child, by the parent's tag and the child's share of its text, joins the labels. Sum-product
 messages up and down the tree give exact marginals. Both are counted on labelled pages: a
 fixed number of pages that labelled_pages() makes, in whose mark-up each region's label stands. A page with
 labels of one's own (attribute data-gold) may be given instead.
@@ -209,7 +209,8 @@ def _add_up(nodes: list[Node]) -> None:
 def features(node: Node) -> list[str]:
     chars = node.chars
     density = node.linked / chars if chars else 0
-    out = ["tag " + node.tag, f"long {0 if not chars else 1 + (chars > 30) + (chars > 120) + (chars > 500)}", f"links {0 if not density else 1 + (density > 0.25) + (density > 0.6)}", f"stops {min(node.stops, 3)}"]
+    links = 0 if not density else 1 + (density > 0.25) + (density > 0.6)
+    out = [f"tag {node.tag} {links}", f"long {0 if not chars else 1 + (chars > 30) + (chars > 120) + (chars > 500)}", f"stops {min(node.stops, 3)}"]
     out += ["word " + w for w in node.words]
     return out
 
@@ -226,8 +227,9 @@ class TreeModel:
                 if n.gold is None:
                     n.gold = nodes[n.parent].gold
                 if n.parent >= 0:
-                    steps[nodes[n.parent].tag][nodes[n.parent].gold][n.gold] += 1
-                    steps[""][nodes[n.parent].gold][n.gold] += 1
+                    up = nodes[n.parent]
+                    for tag in (up.tag, ""):
+                        steps[tag, self.whole(up, n)][up.gold][n.gold] += 1
                 total[n.gold] += 1
                 seen[n.gold].update(set(features(n)))
         kinds = Counter(f.split()[0] for f in seen[0].keys() | seen[1].keys())
@@ -236,18 +238,28 @@ class TreeModel:
             if seen[0][f] + seen[1][f] >= 3:
                 v = 1 if f.startswith("word") else kinds[f.split()[0]]
                 self.ratio[f] = WEIGHT * (math.log((seen[1][f] + 0.5) / (total[1] + 0.5 * v)) - math.log((seen[0][f] + 0.5) / (total[0] + 0.5 * v)))
-        self.steps = {tag: [[math.log(x / sum(row)) for x in row] for row in s] for tag, s in steps.items()}
+        self.steps = {key: [[math.log(x / sum(row)) for x in row] for row in s] for key, s in steps.items()}
+
+    @staticmethod
+    def whole(parent: Node, child: Node) -> bool:
+        """Whether the child holds nearly all of its parent's text."""
+        return child.chars > 0 and child.chars >= 0.9 * parent.chars
+
+    def step(self, parent: Node, child: Node) -> list[list[float]]:
+        """Log potentials [parent's label][child's label]."""
+        whole = self.whole(parent, child)
+        return self.steps.get((parent.tag, whole)) or self.steps["", whole]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Chance of the label 1 for each node: messages from the leaves up, then from the root down."""
         n = len(nodes)
-        ratio, any_step = self.ratio, self.steps[""]
+        ratio = self.ratio
         own = [[0.0, sum(ratio.get(f, 0.0) for f in features(x))] for x in nodes]
         own[0] = [-8.0, 0.0]  # the page holds its text
         up: list[tuple[float, float]] = [(0.0, 0.0)] * n
         inner = [list(x) for x in own]
         for k in range(n - 1, 0, -1):
-            step = self.steps.get(nodes[nodes[k].parent].tag, any_step)
+            step = self.step(nodes[nodes[k].parent], nodes[k])
             a, b = inner[k]
             message = []
             for s in step:
@@ -262,7 +274,7 @@ class TreeModel:
         belief[0] = inner[0]
         for k in range(1, n):
             p = nodes[k].parent
-            step = self.steps.get(nodes[p].tag, any_step)
+            step = self.step(nodes[p], nodes[k])
             x0, x1 = belief[p][0] - up[k][0], belief[p][1] - up[k][1]
             down = []
             for c in (0, 1):
@@ -334,7 +346,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
         return f'<form {GOLD}="0" class="{r.choice(REGIONS["form"].split())}"><label>{words(1, 3)}</label><input name="q">{r.choice(["", f"<p>{prose(1, 2)}</p>", f"<fieldset><legend>{words(1, 3)}</legend></fieldset>"])}<button>{word()}</button></form>'
 
     def comments() -> str:
-        one = lambda: f'<{(t := r.choice(["div", "li", "article"]))} class="comment"><p>{words(1, 2)}</p><p>{prose(1, 5)}</p></{t}>'
+        one = lambda: f'<{(t := r.choice(["div", "li", "div", "li", "div", "li", "div", "li", "article"]))} class="comment"><p>{words(1, 2)}</p><p>{prose(1, 5)}</p></{t}>'
         return mark("comments", "section div div ol", 0, f"<h2>{words(1, 3)}</h2>" + "".join(one() for _ in range(r.randint(1, 5))) + r.choice(["", form()]))
 
     def share() -> str:
@@ -342,6 +354,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
 
     def body_block() -> str:
         x = r.random()
+        if x < 0.07:  # without sentences
+            return f"<p>{words(1, r.choice([6, 60, 300]))}</p>"
         if x < 0.68:
             text = prose(1, 7)
             if r.random() < 0.2:
@@ -362,6 +376,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
     def article() -> str:
         head = f"<h1>{words(2, 9)}</h1>"
         inside = [r.choice([head, head, f"<header>{head}</header>", f"<div>{head}</div>"]), *(body_block() for _ in range(r.choice([1, 2, 4, 8, 14])))]
+        if r.random() < 0.15:  # verse, lists of names
+            inside = [inside[0], *(f"<p>{words(1, 5)}{r.choice(['', '.', '.'])}</p>" for _ in range(r.randint(4, 30)))]
         for extra in (advert, share, sidebar, notice):
             if r.random() < 0.15:
                 inside.insert(r.randint(1, len(inside)), extra())
@@ -383,6 +399,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
         if r.random() < 0.4:
             inside = f'<{(t := r.choice(["main", "div", "div"]))} {GOLD}="1" class="{r.choice(REGIONS["wrapper"].split())}">{inside}</{t}>'
         parts += [inside, mark("footer", "footer footer div", 0, r.choice([f"&copy; {words(1, 4)} &middot; {sentence()}", f"<p>{prose(1, 2)}</p>" + menu(), "".join(link() for _ in range(5))])) if r.random() < 0.85 else ""]
+        if r.random() < 0.12:  # a bare page
+            parts = [f'<{(t := r.choice(["p", "p", "div", "pre", "h1"]))} {GOLD}="1">{r.choice([prose(1, 4), words(1, 40)])}</{t}>' for _ in range(r.randint(1, 6))]
+            if r.random() < 0.5:
+                pages.append("".join(parts))
+                continue
         text = "".join(parts)
         if r.random() < 0.4:
             text = f'<div {GOLD}="1" id="{r.choice(REGIONS["wrapper"].split())}">{text}</div>'
