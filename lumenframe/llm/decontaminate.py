@@ -20,7 +20,7 @@ from .common import SHINGLE_WORDS, table
 CONTAINMENT = 0.8
 #: Item shingles up to which their table is broadcast (40 bytes each); beyond it the join shuffles.
 BROADCAST_SHINGLES = 500_000
-#: Bytes of the sketch partitions: sizes are rounded up to a multiple of this many shingles.
+#: Shingles by which the sizes of two partitions differ.
 SIZE_STEP = 8
 
 
@@ -87,9 +87,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """Documents that hold a benchmark item go; rows that repeat a doc_id go together, those without stay."""
+    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).filter("doc_id is not null").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 _SHINGLES = """

@@ -339,6 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[float, dict[str, flo
     share = F.col("t") / (F.col("t") + F.col("c"))
     gain = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     strong = found.filter((share > base) & (gain > math.log(max(tried, 1)) - LOG_FALSE)).collect()
+    if not strong:
+        return math.log(base / (1 - base)), {}, {}
     index = {f: k for k, f in enumerate(sorted(r["feature"] for r in strong))}
     # the rule of three bounds the clean rows that were not seen
     alone = {r["feature"]: (r["t"] + 0.5) / (r["t"] + r["c"] + 1) for r in strong if r["t"] >= ALONE * (r["t"] + r["c"] + 3) or r["c"] == 0 and r["t"] >= max(8, 0.1 * toxic)}
