@@ -120,9 +120,9 @@ def bit_filter(rows: DataFrame, column: str) -> np.ndarray:
     while size < min(16 * count, MOST_FILTER_BITS):
         size *= 2
     at = F.pmod(F.xxhash64(column), F.lit(size))
-    words = rows.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v")).toPandas()
+    words = rows.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v")).toArrow()
     flags = np.zeros(size // 64, np.int64)
-    flags[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    flags[words["w"].to_numpy()] = words["v"].to_numpy()
     return flags.view(np.uint8)
 
 

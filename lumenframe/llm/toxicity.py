@@ -310,8 +310,8 @@ def held_out(doc_id) -> F.Column:
 def language_model(docs: DataFrame):
     """Broadcast (cells, counts) of the character model, counted over all documents."""
     cells = docs.select("text").mapInArrow(_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = cells.toPandas()  # at most CELLS rows, whatever the corpus
-    return docs.sparkSession.sparkContext.broadcast((rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)))
+    rows = cells.toArrow()  # at most CELLS rows, whatever the corpus
+    return docs.sparkSession.sparkContext.broadcast((rows["cell"].to_numpy(), rows["n"].to_numpy()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[float, dict[str, float], dict[str, float]]:
@@ -345,8 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[float, dict[str, flo
     # the rule of three bounds the clean rows that were not seen
     alone = {r["feature"]: (r["t"] + 0.5) / (r["t"] + r["c"] + 1) for r in strong if r["t"] >= ALONE * (r["t"] + r["c"] + 3) or r["c"] == 0 and r["t"] >= max(8, 0.1 * toxic)}
     sent = docs.sparkSession.sparkContext.broadcast((0.0, dict.fromkeys(index, 0.0), {}))
-    hits = rows.mapInArrow(_hits(model, sent), "toxic int, found array<string>").toPandas()  # FIT_ROWS rows, about
-    bias, weights = _logistic([[index[f] for f in x] for x in hits["found"]], hits["toxic"].to_numpy(float), len(index))
+    hits = rows.mapInArrow(_hits(model, sent), "toxic int, found array<string>").toArrow()  # FIT_ROWS rows, about
+    bias, weights = _logistic([[index[f] for f in x] for x in hits["found"].to_pylist()], hits["toxic"].to_numpy().astype(float), len(index))
     return bias, {f: float(weights[k]) for f, k in index.items()}, alone
 
 
