@@ -254,11 +254,10 @@ WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
       ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM d),
-h AS (SELECT doc_id, unnest(s) AS x FROM s),
-links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.x = b.x AND a.doc_id <> b.doc_id
-  JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, len(sa.s), len(sb.s) HAVING 100 * count(*) >= 85 * (len(sa.s) + len(sb.s) - count(*))),
+z AS (SELECT doc_id, len(s) AS n FROM s), h AS (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM s)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM common JOIN z sa ON sa.doc_id = a JOIN z sb ON sb.doc_id = b WHERE 100 * c >= 85 * (sa.n + sb.n - c)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
 FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
