@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine, duration_bucket, keep_score, r6, verification_mode
 from ..operators import claims as C
+from ..operators import export as X
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators import signal as S
 from ..operators import vector as V
 from ..sources.frames import frames, queries_of, table
-from .oracle import FRAMES, SCORED, SCORED_E, SIMILAR, w
+from .oracle import COMPLETE, FRAMES, MINIMA, NODES, SCORED, SCORED_E, SIMILAR, w
 
 
 def _scored(s, d, e=False):
@@ -251,4 +252,30 @@ QUERIES = {
         lambda s, d: _r(M.overall_and_by(M.selection_coverage(_uniform(s, d), M.spans(frames(s, d))), "family", events="count(1)", recall="avg(window_coverage)"), "recall"),
         w(FRAMES, _UNIFORM, _SPANS, "cv AS (SELECT sp.video_id, qid, family, max((un.timestamp BETWEEN s AND e)::INT) AS hit FROM sp JOIN un USING (video_id) GROUP BY ALL)", "SELECT coalesce(family, 'overall') AS family, count(*) AS events, round(avg(hit), 6) AS recall FROM cv GROUP BY GROUPING SETS ((family), ())"),
     ),
+    "feature_matrix": (
+        lambda s, d: X.feature_matrix(frames(s, d, True), ["packet_size", "motion_magnitude", "luma_entropy"], embedding="clip_embedding").select("video_id", "frame_idx", F.size("features").cast("bigint").alias("width"), r6(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total")),
+        w(SCORED_E, "SELECT video_id, frame_idx, 67::BIGINT AS width, round(packet_size + motion_magnitude + luma_entropy + list_sum(emb), 6) + 0.0 AS total FROM fe"),
+    ),
+    "graph_export": (
+        lambda s, d: G.export(G.edges_complete(G.nodes(_scored(s, d, True).filter("action_score >= 0.6"))).withColumn("weight", r6(F.col("weight"))), 3).select("video_id", F.col("rn").cast("bigint").alias("place"), F.get_json_object("edge", "$.src").cast("long").alias("src"), F.get_json_object("edge", "$.dst").cast("long").alias("dst")),
+        w(NODES, COMPLETE, "SELECT video_id, place, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(weight, 6) DESC, src, dst) AS place FROM ec) WHERE place <= 3"),
+    ),
+    "embedding_health": (
+        lambda s, d: _r(X.embedding_health(table(s, d, "embeddings").withColumn("label", F.col("label").cast("bigint")), "label", "embedding"), "min_norm", "max_norm", "mean_std"),
+        "SELECT label::BIGINT AS label, vectors, distinct_vectors, min_norm, max_norm, mean_std FROM (SELECT label, count(*) AS vectors, count(DISTINCT embedding) AS distinct_vectors, round(min(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS min_norm, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS max_norm FROM embeddings GROUP BY ALL) JOIN (SELECT label, round(avg(s), 6) AS mean_std FROM (SELECT label, pos, stddev_pop(y) AS s FROM (SELECT label, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY ALL) USING (label)",
+    ),
+    "scene_bursts": (
+        lambda s, d: (lambda f: X.bursts(f, S.valley_scenes(f)))(frames(s, d)),
+        w(
+            FRAMES,
+            f"cutt AS (SELECT video_id, frame_idx, n FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, frame_idx = 0 OR ({MINIMA} AND packet_size < quantile_cont(packet_size, 0.25) OVER (PARTITION BY video_id)) AS cut FROM f) WHERE cut), sp AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS scene_id, frame_idx AS x, coalesce(lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx), n) AS y FROM cutt), hi AS (SELECT *, packet_size >= quantile_cont(packet_size, 0.75) OVER (PARTITION BY video_id) AS high FROM f), st AS (SELECT *, high AND NOT coalesce(lag(high) OVER (PARTITION BY video_id ORDER BY frame_idx), false) AS start FROM hi)",
+            "SELECT sp.video_id, scene_id, count(*) FILTER (start) AS bursts FROM sp JOIN st ON st.video_id = sp.video_id AND frame_idx >= x AND frame_idx < y GROUP BY ALL",
+        ),
+    ),
+    "oversized_scenes": (lambda s, d: (lambda f: X.split_oversized(f, S.valley_scenes(f), 8))(frames(s, d)), None),
+    "bootstrap_ci": (lambda s, d: X.bootstrap_interval(_rank_rows(s, d), "recall_at_5"), None),
+    "query_phrase": (
+        lambda s, d: table(s, d, "benchmark").select("item_id", X.query_phrase(F.col("text")).alias("phrase")),
+        f"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND NOT list_contains({X.STOP_WORDS}, x))[1:8], ' ') AS phrase FROM benchmark",
+    ),
 }
