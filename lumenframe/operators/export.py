@@ -95,29 +95,32 @@ def reformulated(questions: DataFrame, most: int = 5) -> DataFrame:
     return kept.withColumn("place", place_of.cast("bigint")).filter(F.col("place") <= most).select("qid", "relation", "place", "query")
 
 
-@F.pandas_udf("string")
-def json_object(raw: pd.Series) -> pd.Series:
-    """the first balanced {...} of a text, of its fenced block where it has one; null without."""
-
-    def one(text: str | None) -> str | None:
-        if not text:
-            return None
-        fenced = text.partition("```json")[2].partition("```")[0]
-        text = fenced or text
-        begin = text.find("{")
-        depth, quoted, skip = 0, False, False
-        for k in range(max(begin, 0), len(text)):
-            c = text[k]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = quoted
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if depth == 0:
-                    return text[begin : k + 1]
+def first_object(text: str | None) -> str | None:
+    """The first balanced {...} of a text, of its fenced block where it has one."""
+    if not text:
         return None
-
-    return raw.map(one)
+    text = text.partition("```json")[2].partition("```")[0] or text
+    begin = text.find("{")
+    depth, quoted, skip = 0, False, False
+    for k in range(max(begin, 0), len(text)):
+        c = text[k]
+        if skip:
+            skip = False
+        elif c == "\\":
+            skip = quoted
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return text[begin : k + 1]
+    return None
+
+
+def json_object(raw: Column) -> Column:
+    """brace counting is no regular expression, so it is an Arrow-batched function."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(first_object)
+
+    return F.pandas_udf(of, "string")(raw)
