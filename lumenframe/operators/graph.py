@@ -101,8 +101,8 @@ def edges_semantic(n: DataFrame, k: int = 4, least: float = 0.5) -> DataFrame:
 
 
 def edges_motion(n: DataFrame, k: int = 3) -> DataFrame:
-    """For each node the k nearest by action score, ties by the larger frame: they are among
-    the k before and after it in score order, with equal scores next to each other both ways."""
+    """For each node the k nearest by action score, ties by the larger frame. The join is keyed by
+    video and the row limit is pushed below the window's sort; equal scores rule out fixed offsets in score order."""
     pairs = _side(n, "u", "score_range").join(_side(n, "v"), "video_id").filter("u_frame_idx != v_frame_idx")
     sim = motion_similarity(F.col("u_action_score"), F.col("v_action_score"), F.col("score_range"))
     best = Window.partitionBy("video_id", "u_frame_idx").orderBy(F.desc("sim"), F.desc("v_frame_idx"))
