@@ -107,6 +107,18 @@ def test_repeated_passages(spark, docs_of):
     assert substring_dedup.repeated_passages(docs_of(rows).limit(0)).count() == 0
 
 
+def test_passage_of_frequent_lines(spark, docs_of):
+    rows = []
+    for k in range(8):
+        lines = [prose(14, 7000 + 10 * k + i) for i in range(5)]
+        rows += [(1000 + k, prose(60, 8000 + k) + " " + " ".join(lines) + " " + prose(60, 8100 + k)), (2000 + k, prose(60, 8200 + k) + " " + " ".join(lines) + " " + prose(60, 8300 + k))]
+        for i, line in enumerate(lines):  # each line alone in earlier and later documents
+            rows += [(base + 100 * k + 10 * i + m, prose(50, base + 9000 + 100 * k + 10 * i + m) + " " + line + " " + prose(50, base + 20000 + 100 * k + 10 * i + m)) for base in (0, 50000) for m in range(3)]
+    got = substring_dedup.repeated_passages(docs_of(rows)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(2000 + k, 1000 + k) for k in range(8)}
+    assert all(r.similarity == 1.0 and r.end_word - r.start_word >= 50 for r in got)
+
+
 def test_substring_stage_cuts_the_later_copies(spark, docs_of):
     passage, a, b = prose(70, 9), prose(60, 1), prose(60, 2)
     docs = docs_of([(1, f"{a} {passage}"), (2, f"{b}\n {passage} end é"), (3, None), (None, passage)])
