@@ -55,6 +55,8 @@ STANDS_FOR = {
 SEPARATORS = ".,-_*~'’·:;/\\|^`\"=+ ­​‌‍⁠﻿"
 #: Costs of the channel, in nats.
 COST_STANDS, COST_SKIP, COST_COLLAPSE, COST_KEEP_SIGN = 1.0, 0.7, 0.6, 9.0
+#: Cost of an edge of a word within a run of letters set apart.
+COST_EDGE = 1.0
 
 _CODE = np.full(0x10000, ALPHABET - 1, np.int32)
 for _i, _c in enumerate(LETTERS):
@@ -69,7 +71,7 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DISGUISED = re.compile("[" + re.escape("".join(STANDS_FOR) + SEPARATORS.replace(" ", "")) + "]")
 #: Three or more single signs set apart by blanks or separators.
-_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(<])(?:[ \t.\-_*]{1,2}(?:[^\W_]|[@$!|+(<])){2,30}(?!\S)")
+_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(<])(?:[ \t.\-_*]{1,2}(?:[^\W_]|[@$!|+(<])){2,}(?!\S)")
 _EDGE = re.compile(r"^[^\w@$!|+(<€£]+|[^\w@$|+€£]+$")
 
 
@@ -148,15 +150,25 @@ class Restorer:
             return core
         return self.viterbi(core)
 
-    def viterbi(self, token: str) -> str:
-        """The likeliest letters behind the written ones."""
+    def viterbi(self, token: str, edges: bool = False) -> str:
+        """The likeliest letters behind the written ones; with edges, blanks may stand between them."""
         size, edge = ALPHABET, 0
         start = (edge * size + edge) * size + edge  # the symbols before
         keep = size ** (ORDER - 2)
-        beam = {(start, ""): (0.0, "")}  # (context, sign that a repetition would repeat) -> (score, letters)
+        beam: dict = {(start, ""): (0.0, None)}  # (context, sign that a repetition would repeat) -> (score, (letters before, letter))
         n = len(token)
         for k, c in enumerate(token):
             nexts: dict = {}
+            if edges and k:
+                ended: dict = {}
+                for (context, _), (score, letters) in beam.items():
+                    if letters is not None and letters[1] != " ":
+                        key, s = (context % keep * size + edge, ""), score - COST_EDGE + float(self.log[context % size ** (ORDER - 1), edge])
+                        if key not in ended or ended[key][0] < s:
+                            ended[key] = (s, (letters, " "))
+                for key, x in ended.items():
+                    if key not in beam or beam[key][0] < x[0]:
+                        beam[key] = x
             readings = [(c, 0.0 if c in _INDEX else COST_KEEP_SIGN)] if c.isalnum() and not c.isdigit() else [(c, COST_KEEP_SIGN)]
             readings += [(x, COST_STANDS) for x in STANDS_FOR.get(c, "")]
             skip = COST_SKIP if c in SEPARATORS and 0 < k < n - 1 else None
@@ -166,7 +178,7 @@ class Restorer:
                     s = score - cost + float(self.log[context % size ** (ORDER - 1), code])
                     key = (context % keep * size + code, x)
                     if key not in nexts or nexts[key][0] < s:
-                        nexts[key] = (s, letters + x)
+                        nexts[key] = (s, (letters, x))
                     if x == last:  # one more of the same letter says nothing
                         s = score - COST_COLLAPSE - cost
                         key = (context, last)
@@ -177,7 +189,12 @@ class Restorer:
                     if key not in nexts or nexts[key][0] < s:
                         nexts[key] = (s, letters)
             beam = nexts if len(nexts) <= 64 else dict(sorted(nexts.items(), key=lambda x: -x[1][0])[:64])
-        return max((score + float(self.log[context % size ** (ORDER - 1), edge]), letters) for (context, _), (score, letters) in beam.items())[1]
+        letters = max(((score + float(self.log[context % size ** (ORDER - 1), edge]), letters) for (context, _), (score, letters) in beam.items()), key=lambda x: x[0])[1]
+        out = []
+        while letters is not None:
+            letters, x = letters
+            out.append(x)
+        return "".join(reversed(out))
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
@@ -192,6 +209,8 @@ class Restorer:
             # the run may hold more than one word, or begin with a word of one letter
             for a in range(1, min(3, len(run) - 3)):
                 found.add(self.viterbi(run[a:]))
+            if not run.isdigit():
+                found.update(self.viterbi(run, True).split())
         found.discard("")
         return found
 

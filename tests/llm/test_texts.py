@@ -38,6 +38,11 @@ def test_restored(restorer, written):
     assert "idiot" in restorer.words(f"the {written} was")
 
 
+@pytest.mark.parametrize("written", ["y o u a r e a n i d i o t", "y o u  a r e  a n  i d i o t", "y.o.u.a.r.e.a.n.i.d.i.o.t", "w h a t a n 1 d 1 0 t"])
+def test_words_within_a_run_are_restored(restorer, written):
+    assert "idiot" in restorer.words(f"so, {written} then")
+
+
 def test_plain_words_are_left_alone(restorer):
     assert restorer.words("The nation, of 1999 — ändern!") >= {"the", "nation", "of", "1999", "ändern"}
     assert restorer.words("") == set()
