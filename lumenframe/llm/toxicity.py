@@ -69,6 +69,7 @@ _WIDE = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)}
 #: Tokens with one reading: letters only, no letter three times in a row.
 _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
+_LONG = re.compile(r"(.)\1{3,}", re.S)
 _DISGUISED = re.compile("[" + re.escape("".join(STANDS_FOR) + SEPARATORS.replace(" ", "")) + "]")
 #: Three or more single signs set apart by blanks or separators.
 _APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(<])(?:[ \t.\-_*]{1,2}(?:[^\W_]|[@$!|+(<])){2,}(?!\S)")
@@ -142,8 +143,10 @@ class Restorer:
 
     def _read(self, token: str) -> str:
         core = _EDGE.sub("", token)
-        if not core or len(core) > 60:
+        if not core:
             return core
+        if len(core) > 60:  # the model might take a very long repetition for one of its own
+            core = _LONG.sub(r"\1\1\1", core)
         if _PLAIN.fullmatch(core) and not _TRIPLE.search(core) and not _DISGUISED.search(core):
             return core
         if not any(c.isalpha() for c in core) and len(core) < 4 or core.isdigit():
@@ -205,6 +208,8 @@ class Restorer:
         found = {kept[t] if t in kept else get(t) for t in set(text.split())}
         for m in _APART.finditer(text):
             run = re.sub(r"[ \t.\-_*]", "", m[0])
+            if len(run) > 60:
+                run = _LONG.sub(r"\1\1\1", run)
             found.add(self.viterbi(run) if not run.isdigit() else run)
             # the run may hold more than one word, or begin with a word of one letter
             for a in range(1, min(3, len(run) - 3)):

@@ -43,6 +43,14 @@ def test_words_within_a_run_are_restored(restorer, written):
     assert "idiot" in restorer.words(f"so, {written} then")
 
 
+LETTERS_BEFORE = "theweatherwasniceyesterdayandtheysaidthatheisan"
+
+
+@pytest.mark.parametrize("written", ["idi" + "o" * 90 + "t", "i" * 200 + "d1" + "0" * 50 + "t", ".".join(LETTERS_BEFORE + "idiot"), " ".join(LETTERS_BEFORE + "idiot"), "-".join(LETTERS_BEFORE + "1d10t")])
+def test_long_tokens_and_runs_are_restored(restorer, written):
+    assert "idiot" in restorer.words(f"so {written} then")
+
+
 def test_plain_words_are_left_alone(restorer):
     assert restorer.words("The nation, of 1999 — ändern!") >= {"the", "nation", "of", "1999", "ändern"}
     assert restorer.words("") == set()
