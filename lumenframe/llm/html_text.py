@@ -16,7 +16,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +57,17 @@ class Node:
         self.chars = self.linked = self.stops = 0
 
 
-@cache
+@lru_cache(20_000)
+def _kept_attributes(raw: str) -> tuple[tuple[str, ...], int | None]:
+    return _read_attributes(raw)
+
+
 def _attributes(raw: str) -> tuple[tuple[str, ...], int | None]:
+    """As _read_attributes; what was read of shorter strings is kept."""
+    return _kept_attributes(raw) if len(raw) < 400 else _read_attributes(raw)
+
+
+def _read_attributes(raw: str) -> tuple[tuple[str, ...], int | None]:
     """Words of class, id and role; the label, if there is one."""
     words: list[str] = []
     gold = None
@@ -145,7 +154,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[0][-1] != ">":  # cut in a tag
             break
         if tag in ("html", "body", "head") and tag != "head":
-            words, gold = _attributes((m[3] or m[6] or "")[:400])
+            words, gold = _attributes(m[3] or m[6] or "")
             if tag == "body":
                 k = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
                 if k is not None:
@@ -180,7 +189,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         raw = m[3] or m[6] or ""
         if tag in BLOCKS and tag not in UNSEEN:
             end_run()
-            words, gold = _attributes(raw if len(raw) < 400 else raw[:400])
+            words, gold = _attributes(raw)
             nodes.append(Node(tag, stack[-1][1], words, gold))
             stack.append((tag, len(nodes) - 1))
         else:

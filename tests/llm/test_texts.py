@@ -144,6 +144,12 @@ def test_main_text(spark):
     assert (2, "", 0) in got and (3, "", 0) in got and (4, "open text\ntwo", 13) in got and (None, "no tags & all", 13) in got and len(got) == 7
 
 
+@pytest.mark.parametrize("tag", ["div", "body"])
+def test_attributes_after_a_long_one(tag):
+    nodes, _ = html_text.parse(f'<{tag} style="{"margin: 0; " * 100}" data-x="{"y" * 400}" class="cookie-banner"><p>text</p></{tag}>')
+    assert next(n for n in nodes if n.tag == tag).words == ("cookie", "banner")
+
+
 def test_marginals_equal_enumeration():
     model = html_text.default_model()
     nodes, _ = html_text.parse("<body><div class=menu><ul><li>a</ul></div><article><p>Some text, it is. Long enough.</p></article></body>")
