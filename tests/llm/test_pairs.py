@@ -107,6 +107,22 @@ def test_repeated_passages(spark, docs_of):
     assert substring_dedup.repeated_passages(docs_of(rows).limit(0)).count() == 0
 
 
+def test_near_passages_of_least_length_equal_brute_force(spark, docs_of):
+    rows = []
+    for k in range(400):  # 50 words with one changed (0.804), or 51 with one missing (0.824)
+        words = [f"w{k}x{i}" for i in range(50 if k % 2 else 51)]
+        near = words[:]
+        if k % 2:
+            near[10 + k % 30] = "other"
+        else:
+            del near[10 + k % 30]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(i, i - 1) for i in range(1, 800, 2) if len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])}
+    lost = want - {(r.doc_id, r.source_doc_id) for r in substring_dedup.repeated_passages(docs_of(rows)).collect()}
+    assert len(want) == 400 and not lost, (len(want), len(lost))
+
+
 def test_passage_of_frequent_lines(spark, docs_of):
     rows = []
     for k in range(8):
