@@ -120,12 +120,17 @@ def keep_topk(s, d):
     return V.kept_top(f, score, 10).select("video_id", "frame_idx", "keep_score", "rank")
 
 
-def dual(s, d):
-    q = queries_of(s, d, 1)
+def dual_all(s, d):
+    """The similarity to every query; dual_similarity is that to query 0."""
+    q = queries_of(s, d)
     f = R.with_similarity(_scored(s, d, True), q)
     m = V.motion_embedding(F.col("packet_size"), F.col("motion_magnitude"), F.col("luma_entropy"))
     x = f.withColumn("m", m).withColumn("motion", cosine(F.col("m"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))))
-    return x.select("video_id", "frame_idx", r6(V.dual_similarity(F.greatest("sem", F.lit(0.0)), F.col("motion"))).alias("similarity"))
+    return x.select("video_id", "query_id", "frame_idx", r6(V.dual_similarity(F.greatest("sem", F.lit(0.0)), F.col("motion"))).alias("similarity"))
+
+
+def dual(s, d):
+    return dual_all(s, d).filter("query_id = 0").drop("query_id")
 
 
 QUERIES = {
@@ -139,6 +144,7 @@ QUERIES = {
         keep_topk,
         w(SCORED, "k AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM a), ks AS (SELECT video_id, frame_idx, round(0.25 * action_score + 0.30 * luma_diff_energy + 0.05 * luma_entropy + 0.10 * least(greatest(1 - (n - 1 - frame_idx) / greatest(n - 1, 1), 0.0), 1.0), 6) + 0.0 AS keep_score FROM k)", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY keep_score DESC, frame_idx) AS rank FROM ks) WHERE rank <= 10"),
     ),
+    "dual_similarity_all": (dual_all, None),
     "dual_similarity": (dual, w(SCORED_E, SIMILAR, "SELECT video_id, frame_idx, round(0.7 * greatest(sem, 0.0) + 0.3 * CASE WHEN sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) < 1e-8 THEN 0.0 ELSE packet_size / sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) END, 6) + 0.0 AS similarity FROM sq WHERE query_id = 0")),
     "motion_embedding": (
         lambda s, d: frames(s, d).withColumn("m", V.motion_embedding(F.col("packet_size"), F.col("motion_magnitude"), F.col("luma_entropy"))).select("video_id", "frame_idx", *[r6(F.col("m")[k]).alias(f"m{k}") for k in range(3)]),

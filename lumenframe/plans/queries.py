@@ -49,6 +49,17 @@ def retrieve_ppr(spark, d):
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 8").select("video_id", "rank", "frame_idx", "score")
 
 
+def retrieve_ppr_union(spark, d):
+    """G6 on the default graph, the union of all edge families, for every query; retrieve_ppr is topology G14 and query 0."""
+    q = queries_of(spark, d)
+    key = F.col("video_id") * 1000 + F.col("query_id")
+    seeded = G.ppr_seed(R.with_similarity(S.codec_conf(_nodes(spark, d)), q)).withColumn("video_id", key)
+    edges = _dedup(_nodes(spark, d)).crossJoin(F.broadcast(q.select("query_id"))).withColumn("video_id", key)
+    scores = _rounded(G.pagerank(seeded, edges, "seed", 0.5, 30), "pagerank").select(F.expr("video_id div 1000").alias("video_id"), (F.col("video_id") % 1000).cast("long").alias("query_id"), "frame_idx", F.col("pagerank").alias("score"))
+    w = R.Window.partitionBy("video_id", "query_id").orderBy(F.desc("score"), "frame_idx")
+    return scores.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 8").select("video_id", "query_id", "rank", "frame_idx", "score")
+
+
 def divergence(spark, d):
     q, s = queries_of(spark, d), _scored(spark, d, True)
     sim = R.with_similarity(s, q).withColumn("sem", r6(F.col("sem")))
@@ -74,7 +85,7 @@ def temporal_expansion(spark, d):
 def scene_sparse(spark, d):
     """Shortcut and fallback keys keep their best frames; the others descend: PageRank over the pool
     of shortlisted scenes with complete edges between the scenes' best frames (J12, rep_only)."""
-    q = queries_of(spark, d, 2)
+    q = queries_of(spark, d)
     n = S.codec_conf(_nodes(spark, d))
     sim = R.with_similarity(n, q)
     best = R.best_per_scene(sim)
@@ -121,8 +132,10 @@ QUERIES = {
     "edges_block_diagonal": lambda s, d: _edges(G.edges_complete(_nodes(s, d), "label")),
     "edge_projection": lambda s, d: _rounded(G.edge_projection(_nodes(s, d), "label"), "ratio"),
     "pagerank_static": lambda s, d: _rounded(G.pagerank(_nodes(s, d), _edges_of(s, d), "action_score", 0.85, 60), "pagerank"),
+    "pagerank_union": lambda s, d: _rounded(G.pagerank(_nodes(s, d), _dedup(_nodes(s, d)), "action_score", 0.85, 60), "pagerank"),
     "retrieve_hybrid": lambda s, d: R.hybrid(_scored(s, d, True), queries_of(s, d)),
     "retrieve_ppr": retrieve_ppr,
+    "retrieve_ppr_union": retrieve_ppr_union,
     "fallback_topk": lambda s, d: R.fallback(_scored(s, d)).select("video_id", "frame_idx", "rank"),
     "scene_centroids": lambda s, d: R.scene_centroids(_scored(s, d, True)).select("video_id", "scene_id", r6(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)).alias("total"), r6(F.col("centroid")[0]).alias("first"), F.size("centroid").cast("bigint").alias("dims")),
     "scene_shortlist": lambda s, d: R.scene_shortlist(R.scene_centroids(_scored(s, d, True)), queries_of(s, d)),
