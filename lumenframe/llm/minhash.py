@@ -11,6 +11,7 @@ confirmed on full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ MINIMA = BANDS * ROWS
 PERCENT = 85
 #: Rows on either side of a tile of a bucket, and hubs of a bucket.
 TILE, HUBS = 384, 3
-#: Standard errors by which the share of equal minima of a linked pair may fall short.
-ERRORS = 3.5
+#: Chance that a linked pair's equal minima fall short of those that are asked for.
+MISSED = 1e-6
 #: Bits of the filter that tells the second scan which documents to keep.
 MOST_FILTER_BITS = 1 << 25
 
@@ -148,9 +149,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def least_equal(percent: int) -> int:
+    """The most minima that may be asked for: a pair at the similarity has fewer with a chance of at most MISSED."""
+    t, k, below = percent / 100, 0, 0.0
+    while k < MINIMA and (below := below + math.comb(MINIMA, k) * t**k * (1 - t) ** (MINIMA - k)) <= MISSED:
+        k += 1
+    return max(1, k)
+
+
 def _tiles(percent: int):
-    t = percent / 100
-    least = max(1, int(np.ceil(MINIMA * (t - ERRORS * np.sqrt(t * (1 - t) / MINIMA)))))
+    least = least_equal(percent)
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         _, i, j, band = rows[0][:4]

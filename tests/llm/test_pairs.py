@@ -1,6 +1,7 @@
 """MinHash, embeddings, passages and components against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -39,6 +40,16 @@ def test_near_duplicates_equal_brute_force(spark, docs_of):
     assert minhash.near_duplicates(docs_of(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent, equal", [(80, 74), (85, 82)])
+def test_tiles_keep_pairs_whose_minima_fall_short_by_chance(percent, equal):
+    # at the threshold, so few equal minima or fewer have a chance of about 1e-6
+    x = np.arange(minhash.MINIMA, dtype=np.uint32)
+    y = np.where(x < equal, x, x + 1000).astype(np.uint32)
+    rows = [(1, 0, 0, 0, 0, d, d, s.tobytes(), 100) for d, s in ((5, x), (9, y))]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], "key i j band tile doc comp sig n".split())
+    assert [b.to_pylist() for b in minhash._tiles(percent)([batch])] == [[{"a": 5, "b": 9}]]
+
+
 def test_near_dedup_stage_keeps_columns_and_one_of_each_group(spark, docs_of):
     docs = docs_of([(1, prose(80, 1)), (2, prose(80, 1)), (3, edited(prose(80, 1), 80, 1)), (4, prose(80, 2)), (None, None)])
     out = minhash.stage_near_dedup(spark, docs, DATA)
