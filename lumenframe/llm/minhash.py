@@ -1,11 +1,13 @@
 """MinHash near-duplicate detection: universal hash minima, banding, signature
 verification, exact confirmation and star-contracted components.
 
-Copies (equal shingle sets) form one class and only its smallest doc_id goes on. Buckets
-are never expanded into all pairs: first every document meets a few hubs of its buckets, the
-best of which it is compared with on full sets; then only pairs of different components
-meet, in tiles of bounded size, by signature, and those that may reach the threshold are
-confirmed on full sets.
+Copies (equal shingle sets) form one class and only its smallest doc_id goes on. Shingles that no
+other document of any bucket has can be in no intersection, so a document with too many of them links with nothing
+and two documents' shares of them bound their similarity, exactly. Buckets are never expanded into
+all pairs: first every document meets hubs of its buckets, among them the one with the least share of such
+shingles (of edited copies, that nearest to what was copied), on full sets; then only pairs
+of different components whose bound reaches the threshold meet, in tiles of bounded size, by signature,
+and those that may reach the threshold are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -16,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, drop_written, shingle_hashes, table, written
+from .common import SHINGLE_WORDS, drop_written, table, text_blocks, texts_shingles, without, written
 from .components import connected
 
 #: 24 bands of 5 minima: a pair at similarity 0.85 shares no band with a chance of 8e-7.
@@ -32,6 +33,8 @@ PERCENT = 85
 TILE, HUBS = 384, 3
 #: Chance that a linked pair's equal minima fall short of those that are asked for.
 MISSED = 1e-6
+#: Parts of all hashes by which two sets' common ones are bounded.
+PARTS = 256
 #: Bits of the filter that tells the second scan which documents to keep.
 MOST_FILTER_BITS = 1 << 25
 
@@ -41,10 +44,9 @@ _B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _CHUNK = 32_768
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes, n: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes. bytes.lower() and bytes.split() treat just A-Z and
-    the six ASCII blanks."""
-    return np.unique(shingle_hashes(hashes.of(text.lower().split()), n)) if text else np.empty(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], n: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Each text's sorted distinct shingle hashes."""
+    return [np.unique(s) for at in text_blocks(texts) for s in texts_shingles(texts[at], n)]
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -76,11 +78,16 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def part_sizes(s: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes are in each of PARTS equal parts of all hashes. Two sets have at most the sum of the
+    lesser sizes in common."""
+    return np.bincount((s.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype(np.uint32)
+
+
 def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, hashes, n) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), n)
             m = minima(sets)
             keys = band_keys(m)
             yield pa.RecordBatch.from_arrays(
@@ -90,8 +97,9 @@ def _sketches(n: int):
                     pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
                     pa.array([row.tobytes() for row in m], pa.binary()),
+                    pa.array([part_sizes(s).tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_id", "bands", "sig"],
+                ["doc_id", "n_shingles", "set_id", "bands", "sig", "parts"],
             )
 
     return run
@@ -99,14 +107,13 @@ def _sketches(n: int):
 
 def _sets(n: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
             wanted = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             for part in np.array_split(wanted, max(1, len(wanted) // 256)):
                 if len(part):
                     rows = batch.take(pa.array(part))
-                    sets = [shingle_set(t, hashes, n).view(np.int64) for t in rows.column(1).to_pylist()]
+                    sets = [s.view(np.int64) for s in shingle_sets(rows.column(1).to_pylist(), n)]
                     offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["doc_id", "s"])
 
@@ -128,8 +135,18 @@ def bit_filter(rows: DataFrame, column: str) -> np.ndarray:
 
 
 def filter_place(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of keys that are hashes themselves, in a bitmap over xxhash64 of them."""
-    return np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in np.ascontiguousarray(keys).view("V8").tolist()), np.uint64, len(keys)) % np.uint64(len(bits) * 8)
+    """Places of 64-bit keys in a bitmap over Spark's xxhash64 of them."""
+    u = np.uint64
+    x = keys.view(u) * u(0xC2B2AE3D27D4EB4F)
+    x = ((x << u(31)) | (x >> u(33))) * u(0x9E3779B185EBCA87)
+    x ^= u(42 + 0x27D4EB2F165667C5 + 8)
+    x = ((x << u(27)) | (x >> u(37))) * u(0x9E3779B185EBCA87) + u(0x85EBCA77C2B2AE63)
+    x ^= x >> u(33)
+    x *= u(0xC2B2AE3D27D4EB4F)
+    x ^= x >> u(29)
+    x *= u(0x165667B19E3779F9)
+    x ^= x >> u(32)
+    return (x & u(len(bits) * 8 - 1)).astype(np.int64)
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -149,6 +166,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(doc, size, own) of the documents of sets(doc_id, s): own of the shingles are in no other document of sets. Rows
+    that repeat a doc_id with other texts have no own ones."""
+    alone = sets.select("doc_id", F.explode("s").alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
+    own = alone.groupBy("doc_id").agg(F.count("*").alias("own"))
+    rows = sets.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.size("s")).cast("long").alias("size"))
+    return rows.join(own, "doc_id", "left").select(F.col("doc_id").alias("doc"), "size", F.when(F.col("rows") == 1, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("own"))
+
+
 def least_equal(percent: int) -> int:
     """The most minima that may be asked for: a pair at the similarity has fewer with a chance of at most MISSED."""
     t, k, below = percent / 100, 0, 0.0
@@ -169,15 +195,19 @@ def _tiles(percent: int):
         out = []
         if not own or not other:
             return out
-        s, sizes, comps, ids = sig(other), col(other, 8), col(other, 6), col(other, 5)
+        s, sizes, shared, comps, ids = sig(other), col(other, 8), col(other, 8) - col(other, 9), col(other, 6), col(other, 5)
+        parts = np.frombuffer(b"".join(r[10] for r in other), np.uint32).reshape(len(other), PARTS)
         for k, r in enumerate(own):
             at = slice(k + 1, None) if i == j else slice(None)
-            maybe = (comps[at] != r[6]) & (100 * np.minimum(sizes[at], r[8]) >= percent * np.maximum(sizes[at], r[8]))
+            most = np.minimum(shared[at], r[8] - r[9])  # of what the two can have in common
+            maybe = (comps[at] != r[6]) & (100 * most >= percent * (sizes[at] + r[8] - most))
             hit = np.flatnonzero(maybe)
             if len(hit):
                 equal = s[at][hit] == np.frombuffer(r[7], np.uint32)
                 first = equal.reshape(len(hit), BANDS, ROWS).all(2).argmax(1)
-                for o in ids[at][hit[(first == band) & (equal.sum(1) >= least)]]:
+                hit = hit[(first == band) & (equal.sum(1) >= least)]
+                most = np.minimum(parts[at][hit], np.frombuffer(r[10], np.uint32)).sum(1, dtype=np.int64)
+                for o in ids[at][hit[100 * most >= percent * (sizes[at][hit] + r[8] - most)]]:
                     out.append((min(r[5], int(o)), max(r[5], int(o))))
         return out
 
@@ -207,36 +237,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE_WO
     and kept false. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketches = written(source.mapInArrow(_sketches(n), "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary"), "sketches")
+    sketches = written(source.mapInArrow(_sketches(n), "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary, parts binary"), "sketches")
     own = sketches.filter("doc_id is not null and set_id is not null")
     classes = written(own.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
 
     key = own.select("set_id", F.col("doc_id").alias("rep"), "bands").join(classes, ["set_id", "rep"]).select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "key"))
-    hub = lambda k: F.min(F.struct(F.xxhash64(F.col("doc"), F.lit(k)), F.col("doc")))["doc"]
-    buckets = key.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("h0"), *[hub(k).alias(f"h{k}") for k in range(1, HUBS)]).filter("n > 1")
-    members = written(key.join(buckets, "key"), "members")
-    docs_in = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = written(wanted_sets(docs, docs_in, n), "sets")
-
-    met = members.select(F.col("doc").alias("a"), F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("b")).filter("a != b").groupBy("a", "b").count()
-    best = met.groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("x")).select("a", (-F.col("x")["col2"]).alias("b"))
-    links = confirmed(best, sets, percent)
+    members = written(key.join(key.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key"), "members")
+    sets = written(wanted_sets(docs, members.select(F.col("doc").alias("doc_id")).distinct(), n), "sets")
+    able = written(own_shingles(sets).filter(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")), "able")
+    known = members.join(able, "doc")
+
+    hub = lambda *order: F.min(F.struct(*order, F.col("doc")))["doc"]
+    random = [hub(F.xxhash64(F.col("doc"), F.lit(k))).alias(f"h{k}") for k in range(1, HUBS)]
+    buckets = known.groupBy("key").agg(F.count("*").alias("n"), hub(F.col("own") / F.col("size"), F.xxhash64("doc")).alias("h0"), *random).filter("n > 1")
+    to = F.explode(F.array(*[F.struct(F.lit(k == 0).alias("central"), F.col(f"h{k}").alias("b")) for k in range(HUBS)])).alias("to")
+    met = known.join(buckets, "key").select(F.col("doc").alias("a"), to).select("a", "to.*").filter("a != b").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("central").cast("int")).alias("central"))
+    best = met.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("x"), F.max(F.struct("central", -F.col("b"))).alias("y"))
+    pairs = best.select("a", F.explode(F.array_distinct(F.array(-F.col("x")["col2"], -F.col("y")["col2"]))).alias("b"))
+    links = confirmed(pairs, sets, percent)
     first = written(connected(links), "first")
 
-    nodes = members.select("key", "band", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"))
+    nodes = known.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", "own", F.coalesce("component", "doc").alias("comp"))
     mixed_buckets = nodes.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.countDistinct("doc").alias("n")).filter("lo != hi").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    open_rows = nodes.join(mixed_buckets, "key").join(own.select(F.col("doc_id").alias("doc"), "sig", "n_shingles").dropDuplicates(["doc", "sig"]), "doc")
+    sketched = own.select(F.col("doc_id").alias("doc"), "set_id", "sig", "parts", "n_shingles").dropDuplicates(["doc", "set_id"])
+    open_rows = nodes.join(mixed_buckets, "key").join(sketched, "doc")
     tile = F.pmod(F.xxhash64(F.col("doc"), F.lit(7)), F.col("tiles")).cast("int")
     spread = (
         open_rows.withColumn("tile", tile)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "band", "tile", "doc", "comp", "sig", "n_shingles")
+        .select("key", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "band", "tile", "doc", "comp", "sig", "n_shingles", "own", "parts")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
     candidates = written(spread.mapInArrow(_tiles(percent), "a long, b long").filter("a != b").distinct(), "candidates")
     more = confirmed(candidates, sets, percent)
     final = connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for df in (members, sets, able, first, candidates):
+        drop_written(df)
     of_set = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return sketches.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").select(
         "doc_id",
@@ -253,8 +290,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more) stays: that with
     the smallest doc_id."""
-    gone = near_duplicates(docs, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, percent=80).filter("not kept").select("doc_id"))
 
 
 ORACLE_SQL = r"""

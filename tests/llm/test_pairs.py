@@ -45,8 +45,9 @@ def test_tiles_keep_pairs_whose_minima_fall_short_by_chance(percent, equal):
     # at the threshold, so few equal minima or fewer have a chance of about 1e-6
     x = np.arange(minhash.MINIMA, dtype=np.uint32)
     y = np.where(x < equal, x, x + 1000).astype(np.uint32)
-    rows = [(1, 0, 0, 0, 0, d, d, s.tobytes(), 100) for d, s in ((5, x), (9, y))]
-    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], "key i j band tile doc comp sig n".split())
+    parts = minhash.part_sizes(x.astype(np.uint64)).tobytes()
+    rows = [(1, 0, 0, 0, 0, d, d, s.tobytes(), 100, 0, parts) for d, s in ((5, x), (9, y))]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], "key i j band tile doc comp sig n own parts".split())
     assert [b.to_pylist() for b in minhash._tiles(percent)([batch])] == [[{"a": 5, "b": 9}]]
 
 
