@@ -68,23 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), kept while there are at most `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Bytes of a block of text whose words are hashed at once; words longer than LONG_WORD are hashed one by one.
 _BLOCK, LONG_WORD = 1 << 15, 256
 _rng = np.random.default_rng(8)
