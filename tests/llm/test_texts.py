@@ -27,6 +27,39 @@ def test_contaminated_by_exact_containment(spark, docs_of):
     assert decontaminate.contaminated(docs_of(rows).limit(0), df).count() == 0
 
 
+def test_rows_without_or_with_the_same_id_are_judged_by_their_own_text(spark, docs_of):
+    words = prose(16, 3).split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    part = lambda a, b: " ".join(words[a:b])
+    rows = [(None, part(0, 8)), (None, part(8, 16)), (5, part(0, 8)), (5, part(8, 16)), (6, part(0, 14)), (6, part(0, 2)), (None, part(0, 16))]
+    got = sorted((r.doc_id or -1, r.item_id, r.item_shingles, r.found_shingles) for r in decontaminate.contaminated(docs_of(rows), items).collect())
+    assert got == [(-1, 1, 12, 12), (6, 1, 12, 10)]
+    out = decontaminate.contaminated(docs_of([]), items)
+    assert out.count() == 0
+
+
+def test_sketch_refuses_pairs_that_share_other_shingles(spark, docs_of):
+    words = prose(60, 4).split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    sketch = decontaminate.sketched(items)
+    rows = [(k, " ".join(words[k : k + 5])) for k in range(56)]
+    found = decontaminate.candidates(docs_of(rows).withColumn("doc_key", F.col("doc_id")), sketch).count()
+    assert found == sketch.first()["sketch"].__len__() == 12  # of 56 shingles, 56 - ceil(0.8 * 56) + 1
+
+
+def test_decontamination_equals_its_sql_with_short_items(spark, docs_of):
+    items = [(1, prose(30, 1)), (2, "just three words"), (3, None), (4, "one"), (1, prose(9, 5)), (5, "a b c d e")]
+    rows = [(1, prose(50, 2) + " " + prose(30, 1)), (1, "one, JUST three  words"), (2, prose(9, 5)), (3, None), (None, "one"), (4, "x a b c d e f"), (4, "x a b c d e f")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(-1 if v is None else v for v in r) for r in decontaminate.contaminated(docs_of(rows), df).collect())
+    c = duckdb.connect()
+    documents, benchmark = docs_of(rows).select("doc_id", "text").toPandas(), df.toPandas()
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    c.register("documents", documents), c.register("benchmark", benchmark)
+    want = sorted(tuple(-1 if v is None else v for v in r) for r in c.execute(decontaminate.ORACLE_SQL).fetchall())
+    assert got == want and len(got) == 6, (got, want)
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
     model = toxicity.language_model(spark.read.parquet(f"{DATA}/documents.parquet"))
