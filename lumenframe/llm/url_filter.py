@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ from .common import table, written
 
 #: False positive rate of level 1, and of the levels after it.
 FIRST_RATE, RATE = 0.01, 0.3
-#: Bits of a level, at most: beyond it the list is to be split over more filters.
-MOST_BITS = 1 << 26
+#: Listed keys of one cascade: a longer list is split by hash over more of them.
+MOST_KEYS = 4_000_000
+#: Levels after which something is wrong: each one holds about RATE of the one before the last.
 MOST_LEVELS = 64
 ALLOW, BLOCK = "allow", "block"
 
@@ -61,13 +63,12 @@ class Level:
     def __init__(self, keys: DataFrame, count: int, rate: float, level: int):
         bits = max(64, math.ceil(-count * math.log(rate) / math.log(2) ** 2))
         self.words = -(-bits // 64)
-        if self.words * 64 > MOST_BITS:
-            raise ValueError(f"a level of {count} keys needs over {MOST_BITS} bits: split the list")
         self.hashes, self.level = max(1, round(-math.log2(rate))), level
         at = F.explode(F.array(*self._positions(F.col("key"))))
-        rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()
-        values = dict.fromkeys(range(self.words), 0) | {r["word"]: r["bits"] for r in rows}
-        self.literal = F.array(*[F.lit(values[k]).cast("bigint") for k in range(self.words)]) if self.words <= 64 else F.from_json(F.lit(str([values[k] for k in range(self.words)])), "array<bigint>")
+        rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+        values = np.zeros(self.words, np.int64)
+        values[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        self.literal = F.array(*[F.lit(x).cast("bigint") for x in values.tolist()]) if self.words <= 64 else F.from_json(F.lit(str(values.tolist())), "array<bigint>")
 
     def _positions(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(self.level), F.lit(k), key), F.lit(self.words * 64)) for k in range(self.hashes)]
@@ -84,22 +85,38 @@ class Level:
 class Cascade:
     """Exact membership in `listed` for every key of `universe`, both (key)."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
-        self.levels: list[Level] = []
-        # of the listed keys, those that the universe lacks are never asked for
-        inside, outside = written(listed.distinct(), "listed"), universe.join(listed, "key", "left_anti")
+    def __init__(self, universe: DataFrame, listed: DataFrame, most_keys: int = MOST_KEYS):
+        listed = written(listed.distinct(), "listed")
+        self.parts = max(1, math.ceil(listed.count() / most_keys))
+        self.levels: list[list[Level]] = []
+        for part in range(self.parts):
+            here = self._part(F.col("key")) == part
+            # of the listed keys, those that the universe lacks are never asked for
+            self.levels.append(self._built(listed.filter(here), universe.filter(here).join(listed, "key", "left_anti")))
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.parts)) if self.parts > 1 else F.lit(0)
+
+    def _built(self, inside: DataFrame, outside: DataFrame) -> list[Level]:
+        levels: list[Level] = []
         rate = FIRST_RATE
-        while (count := inside.count()) and len(self.levels) < MOST_LEVELS:
-            level = Level(inside, count, rate, len(self.levels) + 1)
-            self.levels.append(level)
+        while count := inside.count():
+            if len(levels) == MOST_LEVELS:
+                raise RuntimeError("the cascade did not settle")
+            level = Level(inside, count, rate, len(levels) + 1)
+            levels.append(level)
             inside, outside, rate = written(outside.filter(level.has(F.col("key"))), "false-positives"), inside, RATE
+        return levels
 
     def has(self, key: Column) -> Column:
         """Levels from the last to the first: in this one, and not in the exceptions after it."""
-        answer = F.lit(False)
-        for level in reversed(self.levels):
-            answer = level.has(key) & ~answer
-        return answer
+        out = F.lit(False)
+        for part, levels in enumerate(self.levels):
+            answer = F.lit(False)
+            for level in reversed(levels):
+                answer = level.has(key) & ~answer
+            out = answer if self.parts == 1 else F.when(self._part(key) == part, answer).otherwise(out)
+        return out
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = ALLOW) -> DataFrame:
