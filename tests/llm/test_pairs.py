@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from lumenframe.llm import minhash, substring_dedup
+from lumenframe.llm import embedding_dedup, minhash, substring_dedup
 from lumenframe.llm.common import mixed
 from lumenframe.llm.components import connected
 from lumenframe.llm.embedding_dedup import near_vectors
@@ -77,13 +77,28 @@ def test_vectors_equal_brute_force(spark):
                 links.append((a, b))
     count = {i: sum(i in p for p in links) for i in {r[0] for r in rows}}
     want = components({r[0] for r in rows}, links)
-    got = near_vectors(df, block=4).collect()
-    assert len(got) == len(rows)
-    for g in got:
-        assert (g.n_links, g.component_id, g.kept) == (count[g.vec_id], want[g.vec_id], want[g.vec_id] == g.vec_id), g
+    for tile in (1000, 20):  # labels joined in one task; dealt by block, cells and tiles
+        got = near_vectors(df, block=4, axes=3, tile=tile).collect()
+        assert len(got) == len(rows)
+        for g in got:
+            assert (g.n_links, g.component_id, g.kept) == (count[g.vec_id], want[g.vec_id], want[g.vec_id] == g.vec_id), (tile, g)
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_few_pairs_of_vectors_meet(spark):
+    rows = spark.read.parquet(f"{DATA}/../sf0.1/embeddings.parquet").toPandas()
+    met = every = 0
+    for _, group in rows.groupby("label"):
+        raw = np.array(group["embedding"].tolist(), "f4")
+        y = embedding_dedup.unit(raw) @ embedding_dedup.rotation(raw.shape[1])
+        blocks = embedding_dedup._blocks(raw.shape[1], embedding_dedup.BLOCK)
+        for lo, hi in blocks:
+            met += sum(len(i) for i, _ in embedding_dedup.grid_pairs(y[:, lo:hi], (0.04 * (hi - lo) / raw.shape[1]) ** 0.5, embedding_dedup.AXES))
+        every += len(raw) * (len(raw) - 1) // 2
+    print(f"pairs met {met} of {every}")
+    assert met < 0.2 * every
+
+
 @pytest.mark.parametrize("least", [3, 7])
 def test_compact_windows_are_the_wide_ranges_of_each_minimum(least):
     r = np.random.default_rng(0)
