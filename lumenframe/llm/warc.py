@@ -2,8 +2,9 @@
 
 Archives are written by Spark's text writer, a record a row with CR LF after it, so commits and stores are
 Spark's: any folder it reaches. Bytes pass through string columns unchanged. Deduplication shuffles headers
-only: the records' digests choose the response of each payload, the other records' places join to it, and
-the archives are written again with fresh headers.
+only: the records' digests choose the response of each payload and the other records become revisits, which are written
+from headers alone. The archives are read again where they are, with the places of their revisits beside them, and all
+but those are written with fresh headers. An archive is read whole, so it has to be below 2 GiB.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .common import BROADCAST_IDS, drop_path, drop_written, fresh_path, table, written
 
 #: Payloads of at least so many bytes may become revisits.
 LEAST_BYTES = 1000
@@ -108,8 +109,12 @@ def _records(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k in range(b.num_rows):  # one archive in memory at a time
+                path, content, places = (c[k].as_py() for c in b.columns)
+                skip = set(places or ())
                 for row in parse(path, content):
+                    if row[1] in skip:
+                        continue
                     rows.append(row)
                     size += len(row[-1]) if with_payload else 0
                     if len(rows) >= 2000 or size > 8_000_000:
@@ -121,30 +126,37 @@ def _records(with_payload: bool):
     return run
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives in a folder, by file and place in it."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False, skip: DataFrame | None = None) -> DataFrame:
+    """One row per record of the archives in a folder, by file and place in it, without the places that skip(file, places) has."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if skip is None:
+        files = files.withColumn("places", F.lit(None).cast("array<long>"))
+    else:
+        files = files.join(skip, files["path"] == skip["file"], "left").select("path", "content", "places")
     return files.mapInArrow(_records(with_payload), _FIELDS + ", payload binary" * with_payload)
 
 
 def deduplicated(spark: SparkSession, source: str, target: str, least_bytes: int = LEAST_BYTES) -> None:
     """Writes the archives of source to target with all but one record of each payload of at least
     least_bytes as revisits of it: the response is the one with the largest page_id (nulls first; of
-    equal ones the last by file and place)."""
+    equal ones the last by file and place). Up to BROADCAST_IDS revisits, their places go to the archives; beyond it the
+    archives are shuffled by name, as they are compressed."""
     heads = written(read_archives(spark, source), "heads")
     one = F.max(F.struct("page_id", "file", "place", "url")).alias("to")
-    responses = heads.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(one, F.count("*").alias("n")).filter("n > 1")
-    revisits = (
-        heads.filter(F.col("payload_bytes") >= least_bytes)
-        .join(responses, "digest")
-        .filter((F.col("file") != F.col("to.file")) | (F.col("place") != F.col("to.place")))
-        .select("file", "place", F.col("to.file").alias("to_file"), F.col("to.place").alias("to_place"), F.col("to.url").alias("to_url"))
-    )
-    name = lambda file: F.element_at(F.split(F.col(file), "/"), -1)
-    rows = read_archives(spark, source, with_payload=True).join(revisits, ["file", "place"], "left")
-    type_ = F.when(F.col("to_file").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
-    value = record(type_, _urn(F.lit("fresh"), name("file"), F.col("place")), F.col("url"), F.col("page_id"), F.col("digest"), F.col("payload").cast("string"), F.col("payload_bytes"), _urn(F.lit("fresh"), name("to_file"), F.col("to_place")), F.col("to_url"))
-    write_archives(rows.select(value.alias("value")), target)
+    responses = heads.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(one, F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = heads.filter(F.col("payload_bytes") >= least_bytes).join(responses, "digest").filter((F.col("file") != F.col("to.file")) | (F.col("place") != F.col("to.place")))
+    revisits = written(found, "revisits")
+    places = revisits.groupBy("file").agg(F.collect_list("place").alias("places"))
+    skip = F.broadcast(places) if revisits.count() <= BROADCAST_IDS else places
+    fresh = lambda file, place: _urn(F.lit("fresh"), F.element_at(F.split(F.col(file), "/"), -1), F.col(place))
+    headers = (F.col("url"), F.col("page_id"), F.col("digest"))
+    nothing = F.lit(None).cast("string")
+    kept = read_archives(spark, source, with_payload=True, skip=skip)
+    kept = kept.select(record(F.lit("response"), fresh("file", "place"), *headers, F.col("payload").cast("string"), F.col("payload_bytes"), nothing, nothing).alias("value"))
+    again = revisits.select(record(F.lit("revisit"), fresh("file", "place"), *headers, F.lit(""), F.col("payload_bytes"), fresh("to.file", "to.place"), F.col("to.url")).alias("value"))
+    write_archives(kept.union(again), target)
+    for df in (heads, revisits):
+        drop_written(df)
 
 
 def revisits_resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -161,10 +173,12 @@ def revisits_resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataF
     size = F.octet_length(html)
     nothing = F.lit(None).cast("string")
     digest = F.sha1(html.cast("binary"))
-    raw = record(F.lit("response"), _urn(F.lit("raw"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), digest), F.col("url"), F.col("page_id"), digest, html, size, nothing, nothing)
+    raw = record(F.lit("response"), _urn(F.lit("raw"), F.monotonically_increasing_id(), digest), F.col("url"), F.col("page_id"), digest, html, size, nothing, nothing)
     write_archives(pages.select(raw.alias("value")), first)
     deduplicated(spark, first, second, least_bytes)
     records = written(read_archives(spark, second), "records")
+    for path in (first, second):
+        drop_path(spark, path)
     columns = ["page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type")]
     responses = records.filter("type = 'response'")
     targets = responses.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"))
