@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, without, written
 
 #: Letters of the language model; all others are one symbol. 0 is the edge of a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßäöüéèêëàâçîïôûùñóíáúæœ"
@@ -40,6 +40,8 @@ LOG_FALSE = math.log(0.05)
 MOST_MARKS = 3
 #: Ridge penalty of the lexicon's weights; score where there is nothing to learn from, as log odds.
 RIDGE, NOTHING = 0.2, -3.5
+#: Jaccard similarity of the words of near copies among the rows that the lexicon is fitted on.
+ALIKE = 0.7
 #: Share of toxic rows, at least, with which a feature is evidence alone.
 ALONE = 0.93
 
@@ -191,7 +193,7 @@ class Restorer:
                     key, s = (context, last), score - skip
                     if key not in nexts or nexts[key][0] < s:
                         nexts[key] = (s, letters)
-            beam = nexts if len(nexts) <= 64 else dict(sorted(nexts.items(), key=lambda x: -x[1][0])[:64])
+            beam = nexts  # one state for each context of ORDER - 1 letters that the last signs can stand for
         letters = max(((score + float(self.log[context % size ** (ORDER - 1), edge]), letters) for (context, _), (score, letters) in beam.items()), key=lambda x: x[0])[1]
         out = []
         while letters is not None:
@@ -339,19 +341,23 @@ def language_model(docs: DataFrame):
 
 
 def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[float, dict[str, float], dict[str, float]]:
-    """The lexicon, from the labelled rows that are not held out. Near copies count once: of rows that share the smallest hash of a word, one stays."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """The lexicon, from the labelled rows that are not held out. Near copies count once: of rows that share
+    their smallest word hashes, one stays with those that do not have ALIKE of its words."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = known.count()
     if count > FIT_ROWS:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / count))
     # FIT_ROWS ids, so the texts of all other rows are neither shuffled nor kept
     known = docs.join(F.broadcast(known), "doc_id")
-    # one of the rows that share their smallest word hashes: copies and most near copies
+    # candidates of near copies: rows that share their smallest word hashes
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     group = F.xxhash64(*[F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(2)])
     rows = written(known.select("text", F.col("toxic").cast("int").alias("toxic"), group.alias("g")), "labelled")
-    rows = rows.groupBy("g", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = written(rows.select("text", "toxic"), "fit")
+    one = rows.groupBy("g", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("one"))
+    of = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"))
+    both = rows.join(one, ["g", "toxic"]).select("text", "toxic", "one", of("text").alias("x"), of("one").alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) >= ALIKE * F.size(F.array_union("x", "y"))
+    rows = written(both.filter(F.col("text").eqNullSafe(F.col("one")) | ~alike).select("text", "toxic").distinct(), "fit")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -395,5 +401,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go. Rows that repeat a doc_id go together."""
-    bad = toxicity_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id"))

@@ -76,6 +76,37 @@ def test_words_within_a_run_are_restored(restorer, written):
     assert "idiot" in restorer.words(f"so, {written} then")
 
 
+@pytest.mark.parametrize("token", ["1d10t", "a.b.c", "s-+a8", "w00t", "e33", "(l0ver", "p|g"])
+def test_viterbi_finds_the_best_of_all_readings(restorer, token):
+    size, log = toxicity.ALPHABET, restorer.log
+    step = lambda context, code: float(log[context % size ** (toxicity.ORDER - 1), code])
+    keep = size ** (toxicity.ORDER - 2)
+
+    def readings(k, context, last):
+        """(score, letters) of everything that the signs from k on can stand for."""
+        if k == len(token):
+            yield step(context, 0), ""
+            return
+        c = token[k]
+        plain = c.isalnum() and not c.isdigit()
+        choices = [(c, 0.0 if plain and c in toxicity._INDEX else toxicity.COST_KEEP_SIGN)] + [(x, toxicity.COST_STANDS) for x in toxicity.STANDS_FOR.get(c, "")]
+        for x, cost in choices:
+            code = toxicity._INDEX.get(x, size - 1)
+            for score, rest in readings(k + 1, context % keep * size + code, x):
+                yield score - cost + step(context, code), x + rest
+            if x == last:
+                for score, rest in readings(k + 1, context, last):
+                    yield score - cost - toxicity.COST_COLLAPSE, rest
+        if c in toxicity.SEPARATORS and 0 < k < len(token) - 1:
+            for score, rest in readings(k + 1, context, last):
+                yield score - toxicity.COST_SKIP, rest
+
+    every = list(readings(0, 0, ""))
+    best = max(score for score, _ in every)
+    got = restorer.viterbi(token)
+    assert max(score for score, letters in every if letters == got) == pytest.approx(best, abs=1e-4)
+
+
 LETTERS_BEFORE = "theweatherwasniceyesterdayandtheysaidthatheisan"
 
 
@@ -116,11 +147,38 @@ def test_quality_tells_prose_from_junk(spark):
     assert quality.quality(df.limit(0), labels).count() == 0
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    rows = [(0, 1, 5), (1, 2, 3), (1, 3, 1), (2, 1, 1), (3, 0, 2), (2, 3, 2)]
-    model = quality.kneser_ney(spark.createDataFrame(rows, "a int, b int, n long"), 5)
-    p = np.exp(quality.log_table(model, 5).astype(float)).reshape(5, 5)
-    assert p[:4].sum(1) == pytest.approx(np.ones(4), abs=1e-5) and (p > 0).all()
+COUNTS = [(0, 1, 5), (1, 2, 3), (1, 3, 1), (2, 1, 1), (3, 0, 2), (2, 3, 2), (0, 2, 1), (3, 1, 4)]
+
+
+@pytest.mark.parametrize("most", [100, 5])
+def test_kneser_ney_is_a_distribution(spark, most):
+    model = quality.Model(*quality.kneser_ney(spark.createDataFrame(COUNTS, "a int, b int, n long"), 5, most))
+    a, b = np.divmod(np.arange(25), 5)
+    p = np.exp(model.log(a, b)).reshape(5, 5)
+    assert p.sum(1) == pytest.approx(np.ones(5), abs=1e-5) and (p > 0).all() and len(model.cells) <= most
+
+
+def test_kneser_ney_equals_the_formula(spark):
+    model = quality.Model(*quality.kneser_ney(spark.createDataFrame(COUNTS, "a int, b int, n long"), 5))
+    n = {(a, b): c for a, b, c in COUNTS}
+    kinds = lambda k: max(1, sum(c == k for c in n.values()))
+    follow = {b: sum(y == b for _, y in n) for b in range(5)}
+    follow_kinds = lambda k: max(1, sum(c == k for c in follow.values()))
+
+    def discount(of, c):
+        y = of(1) / (of(1) + 2 * of(2))
+        k = min(c, 3)
+        return min(max(k - (k + 1) * y * of(k + 1) / of(k), 0.1), k - 0.05) if c else 0
+
+    total = sum(follow.values())
+    lower = {b: max(follow[b] - discount(follow_kinds, follow[b]), 0) / total + sum(discount(follow_kinds, c) for c in follow.values()) / total / 5 for b in range(5)}
+    for a in range(4):
+        row = {b: c for (x, b), c in n.items() if x == a}
+        freed = sum(discount(kinds, c) for c in row.values())
+        for b in range(5):
+            c = row.get(b, 0)
+            want = (c - discount(kinds, c) + freed * lower[b]) / sum(row.values())
+            assert np.exp(model.log(np.array([a]), np.array([b])))[0] == pytest.approx(want, rel=1e-5), (a, b)
 
 
 @pytest.mark.parametrize("seed, n", [(0, 1), (1, 40), (2, 3000)])
@@ -225,11 +283,12 @@ def test_urls(spark):
     assert url_filter.judged(df.limit(0), url_filter.RULES).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("most_keys, parts", [(1_000_000, 1), (1_000, 3)])
+def test_cascade_is_exact_over_its_universe(spark, most_keys, parts):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 20_000, 7).select(F.concat(F.lit("k"), "id").alias("key"))
-    cascade = url_filter.Cascade(universe, listed)
-    assert len(cascade.levels) > 2
+    cascade = url_filter.Cascade(universe, listed, most_keys)
+    assert len(cascade.levels) == parts and all(len(x) > 2 for x in cascade.levels)
     wrong = universe.filter(cascade.has(F.col("key")) != (F.substring("key", 2, 9).cast("int") % 7 == 0))
     assert wrong.count() == 0
 
