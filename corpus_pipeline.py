@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm.common import table, written
+from lumenframe.llm.common import drop_written, table, written
 from lumenframe.llm.decontaminate import stage_decontaminate
 from lumenframe.llm.minhash import stage_near_dedup
 from lumenframe.llm.packing import stage_packing
@@ -30,5 +30,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        drop_written(before)
     return docs
