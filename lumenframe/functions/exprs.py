@@ -46,11 +46,15 @@ def rank_pct(x: Column, within: WindowSpec, ordered: WindowSpec, ties: WindowSpe
 def robust_minmax(x: Column, within: WindowSpec) -> Column:
     """To 0..1 by minimum and maximum (fewer than 50 rows) or the 2nd and 98th percentile; those
     that collapse fall back to the former; constant signals are 0.5."""
-    few = F.count(F.lit(1)).over(within) < 50
-    lo, hi = F.min(x).over(within), F.max(x).over(within)
-    p = F.percentile(x, F.array(F.lit(0.02), F.lit(0.98))).over(within)
-    use = few | (p[1] - p[0] < TINY)
-    low, high = F.when(use, lo).otherwise(p[0]), F.when(use, hi).otherwise(p[1])
+    cuts = F.array(*[F.lit(p) for p in (0.0, 0.02, 0.98, 1.0)])
+    return robust_scaled(x, F.count(F.lit(1)).over(within), F.percentile(x, cuts).over(within))
+
+
+def robust_scaled(x: Column, n: Column, cuts: Column) -> Column:
+    """robust_minmax from the number of rows and their percentiles 0, 2, 98 and 100."""
+    lo, p, q, hi = (cuts[k] for k in range(4))
+    use = (n < 50) | (q - p < TINY)
+    low, high = F.when(use, lo).otherwise(p), F.when(use, hi).otherwise(q)
     scaled = (x - low) / (high - low)
     return F.when(hi - lo < TINY, F.lit(0.5)).otherwise(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
 
@@ -108,7 +112,7 @@ def duration_bucket(seconds: Column) -> Column:
     return F.when(seconds < 2, "short").when(seconds <= 5, "medium").otherwise("long")
 
 
-def keep_score(action: Column, query: Column, persistence: Column, pagerank: Column, entropy: Column, hessian: Column, admitted: Column, total: Column, weights: tuple[float, ...] = (0.25, 0.30, 0.15, 0.10, 0.05, 0.05, 0.10)) -> Column:
+def keep_score(action: Column, query: Column, persistence: Column, pagerank: Column, entropy: Column, hessian: Column, admitted: Column, total: Column, weights: tuple[float, ...] = (0.30, 0.20, 0.15, 0.10, 0.10, 0.10, 0.05)) -> Column:
     """seven-signal score of a cached frame; recency is 1 for the last admitted."""
     last = F.greatest(total - 1, F.lit(1))
     recency = F.least(F.greatest(1 - (total - 1 - admitted) / last, F.lit(0.0)), F.lit(1.0))

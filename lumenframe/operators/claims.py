@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that make a caption doubtful, and that hedge a claim (fixed values).
-FLAG_WORDS = ["the", "and", "of", "idiot", "la", "der"]
+#: Words and phrases that make a caption doubtful, and words that hedge a claim (fixed values).
+FLAG_WORDS = ["gone", "no longer", "disappeared", "appeared", "before", "after", "missing", "was there", "now", "has left", "used to"]
+HEDGES = ["maybe", "probably", "possibly", "could", "might", "perhaps", "approximate", "approximately"]
+#: Classes of verdicts (fixed values); every other one could not be verified.
+PASSED = ["verified", "verified_absent", "checked_pass"]
+REJECTED = ["rejected", "checked_fail"]
 NEGATION = r"(?i)\b(no|not|n't|without|absent|missing|none|never)\b"
 
 
@@ -24,9 +28,10 @@ def caption_normalized(text: Column) -> Column:
 
 
 def confabulation_flags(text: Column, words: list[str] | None = None) -> Column:
-    """the flag words that the caption holds, in list order."""
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.filter(F.array(*[F.lit(w) for w in words or FLAG_WORDS]), lambda w: F.array_contains(tokens, w))
+    """the flag words and phrases that the caption holds as whole words, in list order; null has none."""
+    other = r"[^\p{L}\p{N}_]"
+    found = [F.when(F.lower(text).rlike(f"(^|{other}){w}($|{other})"), F.lit(w)) for w in words or FLAG_WORDS]
+    return F.array_compact(F.array(*found))
 
 
 def mc_strict(text: Column) -> Column:
@@ -49,7 +54,7 @@ def family(code: Column) -> Column:
 def claim_confidence(claim: Column, entities: Column) -> Column:
     """empty 0; hedged 0.4; fewer than three distinct words 0.3; with an entity 0.85; else 0.65."""
     words = F.array_distinct(F.filter(F.split(F.lower(claim), r"\s+"), lambda w: w != ""))
-    return F.when(F.trim(claim) == "", 0.0).when(claim.rlike(r"(?i)\b(maybe|perhaps|possibly|might|could|appears|seems)\b"), 0.4).when(F.size(words) < 3, 0.3).when(entities >= 1, 0.85).otherwise(0.65)
+    return F.when(F.trim(claim) == "", 0.0).when(F.arrays_overlap(words, F.array(*[F.lit(x) for x in HEDGES])), 0.4).when(F.size(words) < 3, 0.3).when(entities >= 1, 0.85).otherwise(0.65)
 
 
 def nli_label(label: Column, score: Column, claim_negated: Column, fact_negated: Column) -> Column:
@@ -60,8 +65,10 @@ def nli_label(label: Column, score: Column, claim_negated: Column, fact_negated:
 
 
 def majority(votes: DataFrame) -> DataFrame:
-    """votes(claim_id, label) to a verdict per claim; neutral votes are not relevant."""
-    v = votes.groupBy("claim_id").agg(F.count_if(F.col("label") == "entailment").alias("entailed"), F.count_if(F.col("label") == "contradiction").alias("contradicted"), F.count(F.lit(1)).alias("facts"))
+    """votes(claim_id, label, overlap) to a verdict per claim, by the facts that share a word or a name with the
+    claim (overlap): others can neither verify nor reject it."""
+    counted = lambda label: F.count_if(F.col("overlap") & (F.col("label") == label))
+    v = votes.groupBy("claim_id").agg(counted("entailment").alias("entailed"), counted("contradiction").alias("contradicted"), F.count_if("overlap").alias("facts"))
     return v.withColumn("verdict", F.when(F.col("contradicted") > F.col("entailed"), "rejected").when(F.col("entailed") > 0, "verified").otherwise("unverifiable"))
 
 
@@ -73,20 +80,25 @@ def any_entailed(votes: DataFrame) -> DataFrame:
     return v.select("claim_id", F.when(F.col("b.r") == 2, "verified").when(F.col("b.r") == 1, "rejected").otherwise("unverifiable").alias("verdict"), F.when(F.col("b.r") > 0, F.col("b.fact_id")).alias("fact_id"), F.when(F.col("b.r") > 0, F.col("b.score")).alias("score"))
 
 
-def absence(votes: DataFrame) -> DataFrame:
-    """Any entailment rejects an absence claim, with the strongest witness; else it holds."""
+def absence(claims: DataFrame, votes: DataFrame) -> DataFrame:
+    """claims(claim_id): any entailment rejects an absence claim, with the strongest witness; else it holds. A claim
+    without captions to vote on it is unverifiable."""
     e = F.when(F.col("label") == "entailment", F.struct("score", "fact_id"))
-    v = votes.groupBy("claim_id").agg(F.max(e).alias("b"))
-    return v.select("claim_id", F.when(F.col("b").isNotNull(), "rejected").otherwise("verified_absent").alias("verdict"), F.col("b.fact_id").alias("witness"))
+    v = claims.select("claim_id").join(votes.groupBy("claim_id").agg(F.max(e).alias("b"), F.count(F.lit(1)).alias("n")), "claim_id", "left")
+    verdict = F.when(F.col("n").isNull(), "unverifiable").when(F.col("b").isNotNull(), "rejected").otherwise("verified_absent")
+    return v.select("claim_id", verdict.alias("verdict"), F.col("b.fact_id").alias("witness"))
 
 
 def badges(verdicts: DataFrame) -> DataFrame:
-    """verdicts(answer_id, is_core, verdict) to a badge per answer: the core claim decides first, then any
-    rejection, then what could not be checked."""
+    """verdicts(answer_id, is_core, verdict) to a badge per answer: the core claim has to pass, then any
+    rejection flags, then what could not be checked makes it partial."""
     core, rest = F.col("is_core"), ~F.col("is_core")
+    passed, rejected = F.col("verdict").isin(PASSED), F.col("verdict").isin(REJECTED)
     v = verdicts.groupBy("answer_id").agg(
-        F.coalesce(F.bool_or(core & (F.col("verdict") == "verified")), F.lit(False)).alias("core_ok"), F.coalesce(F.bool_or(core & (F.col("verdict") != "verified")), F.lit(False)).alias("core_bad"),
-        F.bool_or(F.col("verdict") == "rejected").alias("rejected"), F.bool_or(rest & (F.col("verdict") == "unverifiable")).alias("open"),
+        F.coalesce(F.bool_or(core & passed), F.lit(False)).alias("core_ok"),
+        F.coalesce(F.bool_or(core & ~passed), F.lit(False)).alias("core_bad"),
+        F.bool_or(rejected).alias("rejected"),
+        F.bool_or(rest & ~passed & ~rejected).alias("open"),
     )
     return v.select("answer_id", F.when(~F.col("core_ok") | F.col("core_bad"), "unverified").when(F.col("rejected"), "flagged").when(F.col("open"), "partial").otherwise("verified").alias("badge"))
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .signal import find_peaks
+
 #: Words that no query phrase keeps (fixed values).
 STOP_WORDS = "a an and are as at be by did do does for from had has have he her his how i in is it its of on or she that the their them they this to was were what when where which who why with you".split()
 
@@ -66,13 +68,18 @@ def split_oversized(f: DataFrame, spans: DataFrame, longest: int, column: str =
     return f.select("video_id", "frame_idx", F.col(column).alias("v")).groupBy("video_id").cogroup(spans.select("video_id", "start_idx", "end_idx").groupBy("video_id")).applyInPandas(one, "video_id long, scene_id long, start_idx long, end_idx long")
 
 
-def bursts(f: DataFrame, spans: DataFrame, column: str = "packet_size") -> DataFrame:
-    """Frames per scene above the video's third quartile that no such frame precedes."""
-    w = Window.partitionBy("video_id").orderBy("frame_idx")
-    high = F.col(column) >= F.percentile(column, F.lit(0.75)).over(Window.partitionBy("video_id"))
-    starts = f.withColumn("high", high).withColumn("start", F.col("high") & ~F.coalesce(F.lag("high").over(w), F.lit(False)))
+def bursts(f: DataFrame, spans: DataFrame, column: str = "packet_size", percentile: float = 75, distance: int = 15) -> DataFrame:
+    """Peaks per scene on the curve of its frames that are no keyframes: of at least the scene's percentile and
+    `distance` frames of that curve apart. A scene is one group (300 frames at most); one with fewer than two such frames has none."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values("frame_idx")[column].dropna().to_numpy(float)
+        found = len(find_peaks(x, distance, -np.inf, float(np.percentile(x, percentile)))[0]) if len(x) > 1 else 0
+        return pd.DataFrame({"video_id": g["video_id"].iloc[:1], "scene_id": g["scene_id"].iloc[:1], "bursts": [found]})
+
     at = spans.select("video_id", "scene_id", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("frame_idx"))
-    return at.join(starts.select("video_id", "frame_idx", "start"), ["video_id", "frame_idx"]).groupBy("video_id", "scene_id").agg(F.count_if("start").alias("bursts"))
+    plain = f.select("video_id", "frame_idx", F.when(F.col("pict_type") != "I", F.col(column)).alias(column))
+    return at.join(plain, ["video_id", "frame_idx"]).groupBy("video_id", "scene_id").applyInPandas(one, "video_id long, scene_id long, bursts long")
 
 
 def query_phrase(question: Column, most: int = 8) -> Column:

@@ -58,7 +58,7 @@ def edges_complete(n: DataFrame, group: str | None = None, alpha: float = 0.4, b
     return _weighed(pairs, "fully_connected", alpha, beta)
 
 
-def edges_temporal(n: DataFrame, window: int = 2) -> DataFrame:
+def edges_temporal(n: DataFrame, window: int = 1) -> DataFrame:
     """Each node and the next `window` in time, by lead: no join."""
     order = by_video().orderBy("pos")
     me = F.struct(*_SIDE)
@@ -92,21 +92,28 @@ def edges_hierarchy(n: DataFrame) -> DataFrame:
 
 
 def edges_semantic(n: DataFrame, k: int = 4, least: float = 0.5) -> DataFrame:
-    """For each salient or peak node the k most similar ones, ties by the larger frame."""
-    s = n.filter("tier != 'L3_CANDIDATE'")
+    """For each salient node the k most similar salient ones, ties by the larger frame."""
+    s = n.filter("tier = 'L2_SALIENT'")
     pairs = _side(s, "u", "score_range").join(_side(s, "v"), "video_id").filter("u_frame_idx != v_frame_idx")
     pairs = pairs.withColumn("sim", cosine(F.col("u_clip_embedding"), F.col("v_clip_embedding"))).filter(F.col("sim") >= least)
     best = Window.partitionBy("video_id", "u_frame_idx").orderBy(F.desc("sim"), F.desc("v_frame_idx"))
     return _weighed(pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k), "semantic").dropDuplicates(["video_id", "src", "dst"])
 
 
-def edges_motion(n: DataFrame, k: int = 3) -> DataFrame:
-    """For each node the k nearest by action score, ties by the larger frame. The join is keyed by
-    video and the row limit is pushed below the window's sort; equal scores rule out fixed offsets in score order."""
-    pairs = _side(n, "u", "score_range").join(_side(n, "v"), "video_id").filter("u_frame_idx != v_frame_idx")
-    sim = motion_similarity(F.col("u_action_score"), F.col("v_action_score"), F.col("score_range"))
-    best = Window.partitionBy("video_id", "u_frame_idx").orderBy(F.desc("sim"), F.desc("v_frame_idx"))
-    return _weighed(pairs.withColumn("sim", sim).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k), "motion").dropDuplicates(["video_id", "src", "dst"])
+def edges_motion(n: DataFrame, k: int = 2) -> DataFrame:
+    """For each node the k nearest by action score, to nine digits, ties by the larger frame. In score order, larger frames
+    first, the k nearest are among the k next ones upwards and downwards and the first of the node's own run of equal
+    scores: windows, and a join of k pairs a node."""
+    s = n.select("video_id", "frame_idx", F.round("action_score", 9).alias("score"))
+    me = F.struct("score", "frame_idx")
+    up, down = by_video().orderBy("score", F.desc("frame_idx")), by_video().orderBy(F.desc("score"), F.desc("frame_idx"))
+    run = Window.partitionBy("video_id", "score").orderBy(F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = [F.lead(me, j).over(w) for w in (up, down) for j in range(1, k + 1)] + [F.nth_value(me, j).over(run) for j in range(1, k + 2)]
+    pairs = s.withColumn("near", F.array(*near)).withColumn("v", F.explode(F.array_distinct(F.array_compact("near")))).filter("v.frame_idx != frame_idx")
+    best = Window.partitionBy("video_id", "frame_idx").orderBy(F.round(F.abs(F.col("score") - F.col("v.score")), 9), F.desc("v.frame_idx"))
+    chosen = pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
+    chosen = chosen.select("video_id", F.least("frame_idx", "v.frame_idx").alias("u_frame_idx"), F.greatest("frame_idx", "v.frame_idx").alias("v_frame_idx")).distinct()
+    return _weighed(chosen.join(_side(n, "u", "score_range"), ["video_id", "u_frame_idx"]).join(_side(n, "v"), ["video_id", "v_frame_idx"]), "motion")
 
 
 def deduped(*families: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import by_video, in_order, interval_distance, interval_hit, interval_iou, valid_interval
+from .export import bootstrap_interval
 
 
 def uniform(f: DataFrame, k: int) -> DataFrame:
@@ -104,6 +105,67 @@ def threshold_grid(scored: DataFrame, actions: list[float], persistences: list[f
     return g.select("action_t", "persistence_t", "kept", (1 - F.col("kept") / F.col("total")).alias("compression"))
 
 
+def grid_recall(scored: DataFrame, events: DataFrame, actions: list[float], persistences: list[float], k: int = 5) -> DataFrame:
+    """For each pair of thresholds the share of events that one of the k best kept frames of the video hits, with
+    the compression."""
+    grid = scored.sparkSession.createDataFrame([(a, p) for a in actions for p in persistences], "action_t double, persistence_t double")
+    kept = (F.col("action_score") >= F.col("action_t")) | (F.col("persistence_value") >= F.col("persistence_t"))
+    best = Window.partitionBy("video_id", "action_t", "persistence_t").orderBy(F.desc("action_score"), "frame_idx")
+    top = scored.crossJoin(F.broadcast(grid)).filter(kept).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
+    asked = events.crossJoin(F.broadcast(grid)).join(top.select("video_id", "action_t", "persistence_t", "timestamp"), ["video_id", "action_t", "persistence_t"], "left")
+    hit = F.coalesce(F.max(F.col("timestamp").between(F.col("start_time"), F.col("end_time")).cast("int")), F.lit(0))
+    recall = asked.groupBy("video_id", "qid", "action_t", "persistence_t").agg(hit.alias("hit")).groupBy("action_t", "persistence_t").agg(F.avg("hit").alias("recall"))
+    return recall.join(threshold_grid(scored, actions, persistences), ["action_t", "persistence_t"])
+
+
+def best_tradeoff(rows: DataFrame, tie: float = 1e-5) -> DataFrame:
+    """Of rows(action_t, persistence_t, recall, compression) the one with the largest recall; of those within `tie` of it the
+    one with the largest compression, then the least thresholds."""
+    best = rows.agg(F.max("recall").alias("most"))
+    return rows.crossJoin(F.broadcast(best)).filter(F.col("recall") >= F.col("most") - tie).drop("most").orderBy(F.desc("compression"), "action_t", "persistence_t").limit(1)
+
+
+def event_frames(f: DataFrame, events: DataFrame) -> DataFrame:
+    """Events as ranges of frames: the first and last frame in the event's time; events without frames are left out."""
+    j = events.join(f.select("video_id", "frame_idx", "timestamp"), "video_id").filter(F.col("timestamp").between(F.col("start_time"), F.col("end_time")))
+    return j.groupBy("video_id", F.col("qid").alias("event_id")).agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"))
+
+
+def event_metrics(events: DataFrame, sampled: DataFrame, f: DataFrame) -> DataFrame:
+    """Per video with events: the share of events that a sampled frame hits, of the events' frames (their union) that
+    are sampled, and of sampled frames that are in an event (null without samples)."""
+    inside = F.col("frame_idx").between(F.col("start_frame"), F.col("end_frame"))
+    chosen = sampled.select("video_id", "frame_idx").distinct()
+    hits = events.join(chosen, "video_id", "left").groupBy("video_id", "event_id").agg(F.coalesce(F.max(inside.cast("int")), F.lit(0)).alias("hit"))
+    recall = hits.groupBy("video_id").agg(F.avg("hit").alias("event_recall"))
+    union = f.select("video_id", "frame_idx").join(events, "video_id").filter(inside).select("video_id", "frame_idx").distinct()
+    both = union.withColumn("in_event", F.lit(1)).join(chosen.withColumn("chosen", F.lit(1)), ["video_id", "frame_idx"], "full_outer")
+    n = both.groupBy("video_id").agg(F.count("in_event").alias("frames"), F.count("chosen").alias("samples"), F.sum(F.col("in_event") * F.col("chosen")).alias("common"))
+    common = F.coalesce("common", F.lit(0))
+    return recall.join(n, "video_id", "left").select("video_id", "event_recall", F.try_divide(common, F.col("frames")).alias("frame_recall"), F.try_divide(common, F.col("samples")).alias("survivor_precision"))
+
+
+def strongest_baseline(coverage: DataFrame, proposed: str) -> DataFrame:
+    """From coverage(method_name, window_coverage) the proposed method's mean, the best other method and its mean, and the improvement."""
+    m = coverage.groupBy("method_name").agg(F.avg("window_coverage").alias("c"))
+    other = F.col("method_name") != proposed
+    row = m.agg(F.max(F.when(~other, F.col("c"))).alias("proposed"), F.max(F.when(other, F.struct("c", "method_name"))).alias("b"))
+    return row.select("proposed", F.col("b.method_name").alias("baseline"), F.col("b.c").alias("baseline_coverage"), (F.col("proposed") - F.col("b.c")).alias("improvement"))
+
+
+def claim_gate(coverage: DataFrame, proposed: str, least: float = 0.03, replicates: int = 500) -> DataFrame:
+    """strongest_baseline with the bootstrap interval, over videos, of the difference: the gate passes where the interval leaves
+    out 0 and the improvement is at least `least`."""
+    best = strongest_baseline(coverage, proposed)
+    j = coverage.join(F.broadcast(best.select("baseline")))
+    sign = F.when(F.col("method_name") == proposed, 1).when(F.col("method_name") == F.col("baseline"), -1)
+    side = lambda s: F.avg(F.when(sign == s, F.col("window_coverage")))
+    diff = j.groupBy("video_id").agg((side(1) - side(-1)).alias("diff"))
+    ci = bootstrap_interval(diff, "diff", replicates).select("ci_lower", "ci_upper")
+    sure = (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)
+    return best.join(F.broadcast(ci)).withColumn("passes", sure & (F.col("improvement") >= least))
+
+
 def stratified_allocation(groups: DataFrame, key: str, n: int) -> DataFrame:
     """Half-even rounded shares of n; the remainder goes to the largest group."""
     w = Window.partitionBy()

@@ -10,8 +10,13 @@ from ..functions.exprs import by_video, cosine, motion_similarity, r6
 
 
 def with_similarity(f: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every frame with every query (a small, stated set) and their cosine."""
-    return f.crossJoin(F.broadcast(queries)).withColumn("sem", cosine(F.col("clip_embedding"), F.col("q"))).drop("q")
+    """Every frame with every query (a small, stated set) and their cosine. Where frames refer to vectors by vec_id, each
+    vector meets the queries once."""
+    if "vec_id" not in f.columns:
+        return f.crossJoin(F.broadcast(queries)).withColumn("sem", cosine(F.col("clip_embedding"), F.col("q"))).drop("q")
+    vectors = f.groupBy("vec_id").agg(F.first("clip_embedding", ignorenulls=True).alias("v"))
+    scores = vectors.crossJoin(F.broadcast(queries)).withColumn("sem", cosine(F.col("v"), F.col("q"))).select(F.col("vec_id").alias("_vec"), *[c for c in queries.columns if c != "q"], "sem")
+    return f.join(scores, F.col("vec_id").eqNullSafe(F.col("_vec"))).drop("_vec")
 
 
 def hybrid(scored: DataFrame, queries: DataFrame, target: float = 0.5, top_k: int = 5, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.0, delta: float = 0.0) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import TINY, by_video, in_order, rank_pct, robust_minmax
+from ..functions.exprs import TINY, by_video, in_order, rank_pct, robust_scaled
 
 #: Weights of residual, motion and entropy in the action score.
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -33,11 +33,13 @@ def scene_thresholds(f: DataFrame) -> DataFrame:
 
 
 def local_extrema(x: Column, order: int, highest: bool = True) -> Column:
-    """Strictly above (below) all within `order` rows on either side; rows at the ends of a
-    video never are, nor those whose window is cut."""
-    before, after = in_order().rowsBetween(-order, -1), in_order().rowsBetween(1, order)
+    """Frames strictly above (below) all within `order` frames on either side on the curve of the frames that are no
+    keyframes, whose larger packets would warp it; the curve's first and last frame never are, nor are keyframes."""
+    key = F.col("pict_type") == "I"
+    curve = Window.partitionBy("video_id", key).orderBy("frame_idx")
     best = F.max if highest else F.min
-    return F.coalesce((x > best(x).over(before)) & (x > best(x).over(after)) if highest else (x < best(x).over(before)) & (x < best(x).over(after)), F.lit(False))
+    before, after = best(x).over(curve.rowsBetween(-order, -1)), best(x).over(curve.rowsBetween(1, order))
+    return F.coalesce(~key & ((x > before) & (x > after) if highest else (x < before) & (x < after)), F.lit(False))
 
 
 def codec_tiers(f: DataFrame, order: int = 3) -> DataFrame:
@@ -63,7 +65,7 @@ def survivors(f: DataFrame) -> DataFrame:
 def valley_scenes(f: DataFrame, order: int = 3, percentile: float = 0.25, longest: int = 300) -> DataFrame:
     """Scene spans [start, end) between strict minima below the percentile, cut into pieces
     of at most `longest` frames; numbered per video."""
-    low = F.percentile("packet_size", F.lit(percentile)).over(by_video())
+    low = F.percentile(F.when(F.col("pict_type") != "I", F.col("packet_size")), F.lit(percentile)).over(by_video())
     cut = (F.col("frame_idx") == 0) | (local_extrema(F.col("packet_size"), order, highest=False) & (F.col("packet_size") < low))
     n = F.count(F.lit(1)).over(by_video())
     spans = f.select("video_id", "frame_idx", cut.alias("cut"), n.alias("n")).filter("cut").select("video_id", F.col("frame_idx").alias("a"), F.lead("frame_idx").over(in_order()).alias("next"), "n")
@@ -73,13 +75,16 @@ def valley_scenes(f: DataFrame, order: int = 3, percentile: float = 0.25, longes
 
 
 def action_score(f: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """Weighted mean of the robustly scaled channels, within 0..1."""
+    """Weighted mean of the robustly scaled channels, within 0..1. The channels' ranges are one aggregate per video."""
     total = sum(weights)
     if total <= 0:
         raise ValueError("action score weights must have a positive sum")
-    channels = [robust_minmax(F.col(c), by_video()) for c in ("packet_size", "motion_magnitude", "luma_entropy")]
+    names = ("packet_size", "motion_magnitude", "luma_entropy")
+    cuts = F.array(*[F.lit(x) for x in (0.0, 0.02, 0.98, 1.0)])
+    ranges = f.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(c, cuts).alias(f"_{c}") for c in names])
+    channels = [robust_scaled(F.col(c), F.col("_n"), F.col(f"_{c}")) for c in names]
     score = sum((w * c for w, c in zip(weights, channels, strict=True)), F.lit(0.0)) / total
-    return f.withColumn("action_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+    return f.join(ranges, "video_id").select(*[F.col(c) for c in f.columns], F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("action_score"))
 
 
 def peak_prominence(f: DataFrame, column: str = "action_score") -> DataFrame:
@@ -97,8 +102,8 @@ def peak_prominence(f: DataFrame, column: str = "action_score") -> DataFrame:
     return at.select("video_id", "frame_idx", (F.col("v") - F.greatest(left, right)).alias("prominence"))
 
 
-def find_peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Local maxima (middle of a plateau), thinned greedily by height to a distance, then those with the
+def find_peaks(x: np.ndarray, distance: int, prominence: float, height: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Local maxima (middle of a plateau) of at least the height, thinned greedily by height to a distance, then those with the
     prominence; (places, prominences)."""
     n, at, peaks = len(x), 1, []
     while at < n - 1:
@@ -110,6 +115,7 @@ def find_peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndar
                 peaks.append((at + end) // 2)
             at = end
         at += 1
+    peaks = [p for p in peaks if x[p] >= height]
     keep = np.ones(len(peaks), bool)
     for k in np.argsort(x[peaks], kind="stable")[::-1] if peaks else []:
         if keep[k]:

@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import signal as S
 from ..operators import vector as V
 from ..sources.frames import frames, queries_of, table
-from .oracle import COMPLETE, FRAMES, MINIMA, NODES, SCORED, SCORED_E, SIMILAR, w
+from .oracle import COMPLETE, FRAMES, NODES, SCORED, SCORED_E, SIMILAR, TIERED, w
 
 
 def _scored(s, d, e=False):
@@ -36,11 +36,35 @@ _VECTORS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 10
 def _votes(s, d):
     e = table(s, d, "events")
     label = F.when(F.col("event_type") == "purchase", "entailment").when(F.col("event_type") == "error", "contradiction").otherwise("neutral")
-    return e.select((F.col("event_id") % 2500).alias("claim_id"), F.col("event_id").alias("fact_id"), label.alias("label"), F.col("value").alias("score"))
+    return e.select((F.col("event_id") % 2500).alias("claim_id"), F.col("event_id").alias("fact_id"), label.alias("label"), F.col("value").alias("score"), (F.col("event_id") % 7 != 0).alias("overlap"))
 
 
-_VOTES = "vo AS (SELECT event_id % 2500 AS claim_id, event_id AS fact_id, CASE event_type WHEN 'purchase' THEN 'entailment' WHEN 'error' THEN 'contradiction' ELSE 'neutral' END AS label, value AS score FROM events)"
-_MAJORITY = "ma AS (SELECT claim_id, count(*) FILTER (label = 'entailment') AS entailed, count(*) FILTER (label = 'contradiction') AS contradicted, count(*) AS facts FROM vo GROUP BY ALL), mv AS (SELECT *, CASE WHEN contradicted > entailed THEN 'rejected' WHEN entailed > 0 THEN 'verified' ELSE 'unverifiable' END AS verdict FROM ma)"
+def _claims(s, d):
+    """Ids of claims, some of which have no votes."""
+    return table(s, d, "events").select((F.col("event_id") % 2600).alias("claim_id")).distinct()
+
+
+def _labelled(s, d):
+    """Verdicts of all layers: by votes, of metadata checks and of absence claims."""
+    v = C.majority(_votes(s, d))
+    other = F.element_at(F.array(*[F.lit(x) for x in ("checked_fail", "checked_pass", "verified_absent", "field_unavailable")]), (F.col("claim_id") % 11 + 1).cast("int"))
+    verdict = F.when(F.col("claim_id") % 11 < 4, other).otherwise(F.col("verdict"))
+    return v.select(F.expr("claim_id div 5").alias("answer_id"), (F.col("claim_id") % 5 == 0).alias("is_core"), verdict.alias("verdict"))
+
+
+_VOTES = "vo AS (SELECT event_id % 2500 AS claim_id, event_id AS fact_id, CASE event_type WHEN 'purchase' THEN 'entailment' WHEN 'error' THEN 'contradiction' ELSE 'neutral' END AS label, value AS score, event_id % 7 <> 0 AS overlap FROM events)"
+_MAJORITY = "ma AS (SELECT claim_id, count(*) FILTER (overlap AND label = 'entailment') AS entailed, count(*) FILTER (overlap AND label = 'contradiction') AS contradicted, count(*) FILTER (overlap) AS facts FROM vo GROUP BY ALL), mv AS (SELECT *, CASE WHEN contradicted > entailed THEN 'rejected' WHEN entailed > 0 THEN 'verified' ELSE 'unverifiable' END AS verdict FROM ma)"
+
+
+_SAYINGS = ["it was there before", "probably a car is gone now", "No longer snow", "beforehand, nowhere", "maybe, after all"]
+
+
+def _captions():
+    """Texts with phrases that the flag words and hedges are in."""
+    return F.concat_ws(" ", "text", F.element_at(F.array(*[F.lit(x) for x in _SAYINGS]), (F.col("doc_id") % 5 + 1).cast("int")))
+
+
+_CAPTIONS = "cap AS (SELECT *, concat_ws(' ', text, list_extract([" + ", ".join(f"'{x}'" for x in _SAYINGS) + "], (doc_id % 5 + 1)::INT)) AS caption FROM documents)"
 
 
 def _uniform(s, d, k=8):
@@ -68,7 +92,7 @@ def _rank_rows(s, d):
     return M.ranked_retrieval(_ranked(s, d), M.spans(frames(s, d)))
 
 
-def method_summary(s, d):
+def _coverages(s, d):
     f = frames(s, d)
     e = M.spans(f)
     stamps = f.select("video_id", "frame_idx", "timestamp")
@@ -76,6 +100,11 @@ def method_summary(s, d):
     for name, picked in (("uniform", M.uniform(f, 8)), ("strided", M.strided(f, 9)), ("packet_topk", M.top_k(f, "packet_size", 8).drop("rank"))):
         m = M.selection_coverage(picked.join(stamps, ["video_id", "frame_idx"]), e).withColumn("method_name", F.lit(name))
         rows = m if rows is None else rows.union(m)
+    return rows
+
+
+def method_summary(s, d):
+    rows = _coverages(s, d)
     return _r(rows.groupBy("method_name").agg(F.avg("window_coverage").alias("window_coverage"), F.avg("min_temp_dist").alias("min_temp_dist"), F.count(F.lit(1)).alias("events")), "window_coverage", "min_temp_dist")
 
 
@@ -95,10 +124,21 @@ def stability(s, d):
 
 
 def claim_gate(s, d):
-    """The strongest method against the mean of all: passes with a lead of 0.03 or more."""
-    m = method_summary(s, d)
-    best = m.agg(F.max_by("method_name", F.struct("window_coverage", "method_name")).alias("best_method"), F.max("window_coverage").alias("best"), F.avg("window_coverage").alias("mean"))
-    return best.select("best_method", r6(F.col("best") - F.col("mean")).alias("lead"), (F.col("best") - F.col("mean") >= 0.03).alias("passes"))
+    return _r(M.claim_gate(_coverages(s, d), "packet_topk"), "proposed", "baseline_coverage", "improvement", "ci_lower", "ci_upper")
+
+
+_GRID = ([0.3, 0.5, 0.7], [0.5, 0.7, 0.9])
+
+
+def best_tradeoff(s, d):
+    scored = _scored(s, d).withColumn("persistence_value", F.col("luma_diff_energy"))
+    return _r(M.best_tradeoff(M.grid_recall(scored, M.spans(scored), *_GRID)).select("action_t", "persistence_t", "recall", "compression"), "recall", "compression")
+
+
+def event_metrics(s, d):
+    f = frames(s, d)
+    events = M.event_frames(f, M.spans(f).filter("family != 'D'"))
+    return _r(M.event_metrics(events, S.survivors(f), f), "event_recall", "frame_recall", "survivor_precision")
 
 
 def _answers(s, d):
@@ -142,7 +182,7 @@ QUERIES = {
     "l1_admit_fold": (lambda s, d: V.cache_fold(_scored(s, d).withColumn("score", r6(F.col("action_score"))), 10), None),
     "keep_score_topk": (
         keep_topk,
-        w(SCORED, "k AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM a), ks AS (SELECT video_id, frame_idx, round(0.25 * action_score + 0.30 * luma_diff_energy + 0.05 * luma_entropy + 0.10 * least(greatest(1 - (n - 1 - frame_idx) / greatest(n - 1, 1), 0.0), 1.0), 6) + 0.0 AS keep_score FROM k)", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY keep_score DESC, frame_idx) AS rank FROM ks) WHERE rank <= 10"),
+        w(SCORED, "k AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM a), ks AS (SELECT video_id, frame_idx, round(0.30 * action_score + 0.20 * luma_diff_energy + 0.10 * luma_entropy + 0.05 * least(greatest(1 - (n - 1 - frame_idx) / greatest(n - 1, 1), 0.0), 1.0), 6) + 0.0 AS keep_score FROM k)", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY keep_score DESC, frame_idx) AS rank FROM ks) WHERE rank <= 10"),
     ),
     "dual_similarity_all": (dual_all, None),
     "dual_similarity": (dual, w(SCORED_E, SIMILAR, "SELECT video_id, frame_idx, round(0.7 * greatest(sem, 0.0) + 0.3 * CASE WHEN sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) < 1e-8 THEN 0.0 ELSE packet_size / sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) END, 6) + 0.0 AS similarity FROM sq WHERE query_id = 0")),
@@ -160,7 +200,7 @@ QUERIES = {
         w(r"""c AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*[^*\n]*\*\*:?', '', 'g'), '(?m)^[ \t]*(?:[-*•]|\d+[.)])[ \t]+', '', 'g'), '\n+', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 12) AS cs FROM documents)""", "SELECT doc_id, unnest(generate_series(0, len(cs) - 1)) AS pos, md5(unnest(cs)) AS claim_md5 FROM c WHERE len(cs) > 0"),
     ),
     "caption_normalize": (lambda s, d: table(s, d, "benchmark").select("item_id", C.caption_normalized(F.col("text")).alias("caption")), r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N} \n\t]', '', 'g'), '[ \n\t]+', ' ', 'g')) AS caption FROM benchmark"),
-    "confabulation_flags": (lambda s, d: table(s, d, "documents").select("doc_id", F.concat_ws(",", C.confabulation_flags(F.col("text"))).alias("flags")), r"SELECT doc_id, array_to_string(list_filter(['the', 'and', 'of', 'idiot', 'la', 'der'], lambda x: list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), x)), ',') AS flags FROM documents"),
+    "confabulation_flags": (lambda s, d: table(s, d, "documents").select("doc_id", F.concat_ws(",", C.confabulation_flags(_captions())).alias("flags")), w(_CAPTIONS, r"SELECT doc_id, coalesce(array_to_string(list_filter([" + ", ".join(f"'{x}'" for x in C.FLAG_WORDS) + r"], lambda x: regexp_matches(lower(caption), '(^|[^\p{L}\p{N}_])' || x || '($|[^\p{L}\p{N}_])')), ','), '') AS flags FROM cap")),
     "mc_parse_strict": (
         lambda s, d: _answers(s, d).select("conv_id", "turn", C.mc_strict(F.col("text")).alias("choice")),
         w(r"t AS (SELECT conv_id, turn, upper(regexp_extract(coalesce(text || chr(10) || 'Final answer: (' || substr('ABCDEFG', conv_id::INT % 7 + 1, 1) || ')', ''), '(?im)^[ \t]*(?:FINAL[ \t]+)?ANSWER[ \t]*:[ \t]*(?:OPTION[ \t]+)?\(?([A-E])\b', 1)) AS l FROM conversations)", "SELECT conv_id, turn, CASE WHEN l <> '' THEN (ascii(l) - 65)::BIGINT END AS choice FROM t"),
@@ -171,8 +211,8 @@ QUERIES = {
     ),
     "family_map": (lambda s, d: table(s, d, "events").groupBy(C.family(F.col("event_type")).alias("family")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN upper(event_type[1]) IN ('C', 'T', 'D') THEN upper(event_type[1]) END AS family, count(*) AS n FROM events GROUP BY 1"),
     "claim_confidence": (
-        lambda s, d: table(s, d, "documents").select("doc_id", C.claim_confidence(F.coalesce("text", F.lit("")), F.col("doc_id") % 2).alias("confidence")),
-        r"SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0 WHEN regexp_matches(text, '(?i)\b(maybe|perhaps|possibly|might|could|appears|seems)\b') THEN 0.4 WHEN len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) < 3 THEN 0.3 WHEN doc_id % 2 >= 1 THEN 0.85 ELSE 0.65 END::DOUBLE AS confidence FROM documents",
+        lambda s, d: table(s, d, "documents").select("doc_id", C.claim_confidence(_captions(), F.col("doc_id") % 2).alias("confidence")),
+        w(_CAPTIONS, r"SELECT doc_id, CASE WHEN trim(caption) = '' THEN 0.0 WHEN list_has_any(regexp_split_to_array(lower(caption), '\s+'), ['maybe', 'probably', 'possibly', 'could', 'might', 'perhaps', 'approximate', 'approximately']) THEN 0.4 WHEN len(list_distinct(list_filter(regexp_split_to_array(lower(caption), '\s+'), lambda x: x <> ''))) < 3 THEN 0.3 WHEN doc_id % 2 >= 1 THEN 0.85 ELSE 0.65 END::DOUBLE AS confidence FROM cap"),
     ),
     "verification_mode": (lambda s, d: _scored(s, d).groupBy(verification_mode(r6(F.col("action_score"))).alias("mode")).agg(F.count(F.lit(1)).alias("frames")), w(SCORED, "SELECT CASE WHEN round(action_score, 6) >= 0.70 THEN 'full' WHEN round(action_score, 6) >= 0.35 THEN 'filtered' ELSE 'ner' END AS mode, count(*) AS frames FROM a GROUP BY 1")),
     "claim_vote": (lambda s, d: C.majority(_votes(s, d)), w(_VOTES, _MAJORITY, "SELECT * FROM mv")),
@@ -180,10 +220,10 @@ QUERIES = {
         lambda s, d: C.any_entailed(_votes(s, d)),
         w(_VOTES, "b AS (SELECT *, CASE label WHEN 'entailment' THEN 2 WHEN 'contradiction' THEN 1 ELSE 0 END AS r FROM vo), o AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY r DESC, score DESC, fact_id DESC) AS rn FROM b)", "SELECT claim_id, CASE r WHEN 2 THEN 'verified' WHEN 1 THEN 'rejected' ELSE 'unverifiable' END AS verdict, CASE WHEN r > 0 THEN fact_id END AS fact_id, CASE WHEN r > 0 THEN score END AS score FROM o WHERE rn = 1"),
     ),
-    "absence_verdict": (lambda s, d: C.absence(_votes(s, d)), w(_VOTES, "SELECT claim_id, CASE WHEN count(*) FILTER (label = 'entailment') > 0 THEN 'rejected' ELSE 'verified_absent' END AS verdict, arg_max(fact_id, (score, fact_id)) FILTER (label = 'entailment') AS witness FROM vo GROUP BY ALL")),
+    "absence_verdict": (lambda s, d: C.absence(_claims(s, d), _votes(s, d)), w(_VOTES, "cl AS (SELECT DISTINCT event_id % 2600 AS claim_id FROM events)", "SELECT cl.claim_id, CASE WHEN count(vo.claim_id) = 0 THEN 'unverifiable' WHEN count(*) FILTER (label = 'entailment') > 0 THEN 'rejected' ELSE 'verified_absent' END AS verdict, arg_max(fact_id, (score, fact_id)) FILTER (label = 'entailment') AS witness FROM cl LEFT JOIN vo ON vo.claim_id = cl.claim_id GROUP BY ALL")),
     "answer_badge": (
-        lambda s, d: C.badges(C.majority(_votes(s, d)).select(F.expr("claim_id div 5").alias("answer_id"), (F.col("claim_id") % 5 == 0).alias("is_core"), "verdict")),
-        w(_VOTES, _MAJORITY, "g AS (SELECT claim_id // 5 AS answer_id, bool_or(claim_id % 5 = 0 AND verdict = 'verified') AS ok, bool_or(claim_id % 5 = 0 AND verdict <> 'verified') AS bad, bool_or(verdict = 'rejected') AS rej, bool_or(claim_id % 5 <> 0 AND verdict = 'unverifiable') AS open FROM mv GROUP BY ALL)", "SELECT answer_id, CASE WHEN NOT ok OR bad THEN 'unverified' WHEN rej THEN 'flagged' WHEN open THEN 'partial' ELSE 'verified' END AS badge FROM g"),
+        lambda s, d: C.badges(_labelled(s, d)),
+        w(_VOTES, _MAJORITY, "lv AS (SELECT claim_id, CASE claim_id % 11 WHEN 0 THEN 'checked_fail' WHEN 1 THEN 'checked_pass' WHEN 2 THEN 'verified_absent' WHEN 3 THEN 'field_unavailable' ELSE verdict END AS verdict FROM mv), kl AS (SELECT *, verdict IN ('verified', 'verified_absent', 'checked_pass') AS pass, verdict IN ('rejected', 'checked_fail') AS rejected FROM lv), g AS (SELECT claim_id // 5 AS answer_id, bool_or(claim_id % 5 = 0 AND pass) AS ok, bool_or(claim_id % 5 = 0 AND NOT pass) AS bad, bool_or(rejected) AS rej, bool_or(claim_id % 5 <> 0 AND NOT pass AND NOT rejected) AS open FROM kl GROUP BY ALL)", "SELECT answer_id, CASE WHEN NOT ok OR bad THEN 'unverified' WHEN rej THEN 'flagged' WHEN open THEN 'partial' ELSE 'verified' END AS badge FROM g"),
     ),
     "metadata_check": (
         lambda s, d: C.metadata_checked(table(s, d, "events").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 80).alias("frame_idx"), F.col("event_id"), (F.col("event_id") % 500 / F.lit(1.0)).alias("stated")), frames(s, d).withColumn("p", F.floor("packet_size").cast("double")), "p").select("video_id", "event_id", "verdict"),
@@ -215,7 +255,11 @@ QUERIES = {
         w(FRAMES, _UNIFORM, _SPANS, "SELECT sp.video_id, qid, family, round(avg((un.timestamp BETWEEN s AND e)::INT), 6) + 0.0 AS fiw, round(coalesce(greatest(least(max(un.timestamp), e) - greatest(min(un.timestamp), s), 0.0) / nullif(max(un.timestamp) - min(un.timestamp), 0), 0.0), 6) + 0.0 AS iop FROM sp JOIN un USING (video_id) GROUP BY sp.video_id, qid, family, s, e"),
     ),
     "method_summary": (method_summary, w(FRAMES, _UNIFORM, _SPANS, _METHOD_PICKS, "SELECT method_name, round(avg(hit), 6) AS window_coverage, round(avg(dist), 6) + 0.0 AS min_temp_dist, count(*) AS events FROM cv GROUP BY ALL")),
-    "claim_gate": (claim_gate, w(FRAMES, _UNIFORM, _SPANS, _METHOD_PICKS, "ms AS (SELECT method_name, round(avg(hit), 6) AS c FROM cv GROUP BY ALL)", "SELECT arg_max(method_name, (c, method_name)) AS best_method, round(max(c) - avg(c), 6) + 0.0 AS lead, max(c) - avg(c) >= 0.03 AS passes FROM ms")),
+    "claim_gate": (claim_gate, None),
+    "strongest_baseline": (
+        lambda s, d: _r(M.strongest_baseline(_coverages(s, d), "packet_topk"), "proposed", "baseline_coverage", "improvement"),
+        w(FRAMES, _UNIFORM, _SPANS, _METHOD_PICKS, "ms AS (SELECT method_name, avg(hit) AS c FROM cv GROUP BY ALL), p AS (SELECT c FROM ms WHERE method_name = 'packet_topk'), b AS (SELECT * FROM ms WHERE method_name <> 'packet_topk' ORDER BY c DESC, method_name DESC LIMIT 1)", "SELECT round(p.c, 6) + 0.0 AS proposed, b.method_name AS baseline, round(b.c, 6) + 0.0 AS baseline_coverage, round(p.c - b.c, 6) + 0.0 AS improvement FROM p, b"),
+    ),
     "mc_accuracy_groupingsets": (
         lambda s, d: _r(M.overall_and_by(_rank_rows(s, d), "family", questions="count(1)", correct="sum(recall_at_5)", accuracy="avg(recall_at_5)"), "accuracy"),
         w(SCORED, _SPANS, _RANKED, _RR, "SELECT coalesce(family, 'overall') AS family, count(*) AS questions, sum(recall_at_5)::BIGINT AS correct, round(avg(recall_at_5), 6) AS accuracy FROM rr GROUP BY GROUPING SETS ((family), ())"),
@@ -230,8 +274,18 @@ QUERIES = {
         "SELECT round(avg(m), 6) AS mean, round(sum(m * n) / sum(n), 6) AS weighted, round(avg(m) FILTER (n >= 60), 6) AS pooled FROM (SELECT count(*) AS n, avg(value) AS m FROM events GROUP BY user_id)",
     ),
     "best_tradeoff": (
-        lambda s, d: M.threshold_grid(_scored(s, d).withColumn("persistence_value", F.col("luma_diff_energy")), [0.3, 0.5, 0.7], [0.5, 0.7, 0.9]).withColumn("ok", F.col("compression") >= 0.2).orderBy(F.desc("ok"), "action_t", "persistence_t").limit(1).select("action_t", "persistence_t"),
-        w(SCORED, "g AS (SELECT action_t::DOUBLE AS action_t, persistence_t::DOUBLE AS persistence_t, 1 - count(*) FILTER (action_score >= action_t OR luma_diff_energy >= persistence_t) / count(*) AS c FROM a CROSS JOIN (VALUES (0.3), (0.5), (0.7)) x(action_t) CROSS JOIN (VALUES (0.5), (0.7), (0.9)) y(persistence_t) GROUP BY ALL)", "SELECT action_t, persistence_t FROM g ORDER BY c >= 0.2 DESC, action_t, persistence_t LIMIT 1"),
+        best_tradeoff,
+        w(
+            SCORED,
+            _SPANS,
+            """grid AS (SELECT action_t::DOUBLE AS action_t, persistence_t::DOUBLE AS persistence_t FROM (VALUES (0.3), (0.5), (0.7)) x(action_t) CROSS JOIN (VALUES (0.5), (0.7), (0.9)) y(persistence_t)),
+kp AS (SELECT a.video_id, a.frame_idx, a.timestamp, action_t, persistence_t, action_score >= action_t OR luma_diff_energy >= persistence_t AS kept, action_score FROM a CROSS JOIN grid),
+co AS (SELECT action_t, persistence_t, 1 - count(*) FILTER (kept) / count(*) AS compression FROM kp GROUP BY ALL),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, action_t, persistence_t ORDER BY action_score DESC, frame_idx) AS rn FROM kp WHERE kept) WHERE rn <= 5),
+hi AS (SELECT sp.video_id, sp.qid, grid.action_t, grid.persistence_t, coalesce(max((tp.timestamp BETWEEN s AND e)::INT), 0) AS hit FROM sp CROSS JOIN grid LEFT JOIN tp ON tp.video_id = sp.video_id AND tp.action_t = grid.action_t AND tp.persistence_t = grid.persistence_t GROUP BY ALL),
+rc AS (SELECT action_t, persistence_t, avg(hit) AS recall FROM hi GROUP BY ALL)""",
+            "SELECT action_t, persistence_t, round(recall, 6) + 0.0 AS recall, round(compression, 6) + 0.0 AS compression FROM rc JOIN co USING (action_t, persistence_t) WHERE recall >= (SELECT max(recall) FROM rc) - 1e-5 ORDER BY co.compression DESC, action_t, persistence_t LIMIT 1",
+        ),
     ),
     "stratified_allocation": (lambda s, d: M.stratified_allocation(table(s, d, "events"), "event_type", 97).select("event_type", F.col("available"), F.col("allocated").cast("bigint").alias("allocated")), w("c AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, round_even(97 * n / sum(n) OVER (), 0)::BIGINT AS sh, row_number() OVER (ORDER BY n DESC, event_type) AS rn FROM c)", "SELECT event_type, n AS available, (sh + CASE WHEN rn = 1 THEN 97 - sum(sh) OVER () ELSE 0 END)::BIGINT AS allocated FROM r")),
     "pairwise_cosine": (
@@ -244,7 +298,7 @@ QUERIES = {
     ),
     "stability_classes": (
         stability,
-        w(_VOTES, _MAJORITY, "o AS (SELECT claim_id, CASE WHEN entailed > 0 THEN 'verified' WHEN contradicted > 0 THEN 'rejected' ELSE 'unverifiable' END AS other FROM ma WHERE claim_id % 13 <> 0), m AS (SELECT claim_id, verdict FROM mv WHERE claim_id % 11 <> 0)", "SELECT CASE WHEN verdict IS NULL OR other IS NULL THEN 'missing' WHEN verdict = other THEN 'stable' ELSE 'shifted' END AS class, count(*) AS claims FROM m FULL JOIN o USING (claim_id) GROUP BY 1"),
+        w(_VOTES, _MAJORITY, "o AS (SELECT claim_id, CASE WHEN bool_or(label = 'entailment') THEN 'verified' WHEN bool_or(label = 'contradiction') THEN 'rejected' ELSE 'unverifiable' END AS other FROM vo WHERE claim_id % 13 <> 0 GROUP BY ALL), m AS (SELECT claim_id, verdict FROM mv WHERE claim_id % 11 <> 0)", "SELECT CASE WHEN verdict IS NULL OR other IS NULL THEN 'missing' WHEN verdict = other THEN 'stable' ELSE 'shifted' END AS class, count(*) AS claims FROM m FULL JOIN o USING (claim_id) GROUP BY 1"),
     ),
     "length_buckets": (
         lambda s, d: _r(table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("rate")), "rate"),
@@ -255,29 +309,32 @@ QUERIES = {
         w(SCORED_E, "p AS (SELECT u.video_id, u.frame_idx, list_cosine_similarity(u.emb, x.emb) AS c, u.label = x.label AS own FROM fe u JOIN fe x ON u.video_id = x.video_id AND u.frame_idx <> x.frame_idx)", "SELECT video_id, frame_idx, round(avg(c) FILTER (own) - avg(c), 6) + 0.0 AS margin FROM p GROUP BY ALL HAVING count(*) FILTER (own) > 0"),
     ),
     "event_recall": (
-        lambda s, d: _r(M.overall_and_by(M.selection_coverage(_uniform(s, d), M.spans(frames(s, d))), "family", events="count(1)", recall="avg(window_coverage)"), "recall"),
-        w(FRAMES, _UNIFORM, _SPANS, "cv AS (SELECT sp.video_id, qid, family, max((un.timestamp BETWEEN s AND e)::INT) AS hit FROM sp JOIN un USING (video_id) GROUP BY ALL)", "SELECT coalesce(family, 'overall') AS family, count(*) AS events, round(avg(hit), 6) AS recall FROM cv GROUP BY GROUPING SETS ((family), ())"),
+        event_metrics,
+        w(
+            TIERED,
+            _SPANS,
+            """ev AS (SELECT sp.video_id, qid, min(frame_idx) AS x, max(frame_idx) AS y FROM sp JOIN f USING (video_id) WHERE family <> 'D' AND timestamp BETWEEN s AND e GROUP BY ALL),
+su AS (SELECT video_id, frame_idx FROM t WHERE tier <> 'SKIP'),
+er AS (SELECT video_id, avg(hit) AS event_recall FROM (SELECT ev.video_id, qid, coalesce(max((su.frame_idx BETWEEN x AND y)::INT), 0) AS hit FROM ev LEFT JOIN su USING (video_id) GROUP BY ALL) GROUP BY ALL),
+un AS (SELECT DISTINCT f.video_id, f.frame_idx FROM f JOIN ev ON ev.video_id = f.video_id AND f.frame_idx BETWEEN x AND y),
+nu AS (SELECT un.video_id, count(*) AS frames, count(su.frame_idx) AS common FROM un LEFT JOIN su ON su.video_id = un.video_id AND su.frame_idx = un.frame_idx GROUP BY ALL),
+ns AS (SELECT video_id, count(*) AS samples FROM su GROUP BY ALL)""",
+            "SELECT er.video_id, round(event_recall, 6) + 0.0 AS event_recall, round(common / frames, 6) + 0.0 AS frame_recall, round(common / samples, 6) + 0.0 AS survivor_precision FROM er LEFT JOIN nu ON nu.video_id = er.video_id LEFT JOIN ns ON ns.video_id = er.video_id",
+        ),
     ),
     "feature_matrix": (
         lambda s, d: X.feature_matrix(frames(s, d, True), ["packet_size", "motion_magnitude", "luma_entropy"], embedding="clip_embedding").select("video_id", "frame_idx", F.size("features").cast("bigint").alias("width"), r6(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total")),
         w(SCORED_E, "SELECT video_id, frame_idx, 67::BIGINT AS width, round(packet_size + motion_magnitude + luma_entropy + list_sum(emb), 6) + 0.0 AS total FROM fe"),
     ),
     "graph_export": (
-        lambda s, d: G.export(G.edges_complete(G.nodes(_scored(s, d, True).filter("action_score >= 0.6"))).withColumn("weight", r6(F.col("weight"))), 3).select("video_id", F.col("rn").cast("bigint").alias("place"), F.get_json_object("edge", "$.src").cast("long").alias("src"), F.get_json_object("edge", "$.dst").cast("long").alias("dst")),
+        lambda s, d: G.export(G.edges_complete(G.nodes(_scored(s, d, True))).withColumn("weight", r6(F.col("weight"))), 3).select("video_id", F.col("rn").cast("bigint").alias("place"), F.get_json_object("edge", "$.src").cast("long").alias("src"), F.get_json_object("edge", "$.dst").cast("long").alias("dst")),
         w(NODES, COMPLETE, "SELECT video_id, place, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(weight, 6) DESC, src, dst) AS place FROM ec) WHERE place <= 3"),
     ),
     "embedding_health": (
         lambda s, d: _r(X.embedding_health(table(s, d, "embeddings").withColumn("label", F.col("label").cast("bigint")), "label", "embedding"), "min_norm", "max_norm", "mean_std"),
         "SELECT label::BIGINT AS label, vectors, distinct_vectors, min_norm, max_norm, mean_std FROM (SELECT label, count(*) AS vectors, count(DISTINCT embedding) AS distinct_vectors, round(min(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS min_norm, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS max_norm FROM embeddings GROUP BY ALL) JOIN (SELECT label, round(avg(s), 6) AS mean_std FROM (SELECT label, pos, stddev_pop(y) AS s FROM (SELECT label, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY ALL) USING (label)",
     ),
-    "scene_bursts": (
-        lambda s, d: (lambda f: X.bursts(f, S.valley_scenes(f)))(frames(s, d)),
-        w(
-            FRAMES,
-            f"cutt AS (SELECT video_id, frame_idx, n FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, frame_idx = 0 OR ({MINIMA} AND packet_size < quantile_cont(packet_size, 0.25) OVER (PARTITION BY video_id)) AS cut FROM f) WHERE cut), sp AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS scene_id, frame_idx AS x, coalesce(lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx), n) AS y FROM cutt), hi AS (SELECT *, packet_size >= quantile_cont(packet_size, 0.75) OVER (PARTITION BY video_id) AS high FROM f), st AS (SELECT *, high AND NOT coalesce(lag(high) OVER (PARTITION BY video_id ORDER BY frame_idx), false) AS start FROM hi)",
-            "SELECT sp.video_id, scene_id, count(*) FILTER (start) AS bursts FROM sp JOIN st ON st.video_id = sp.video_id AND frame_idx >= x AND frame_idx < y GROUP BY ALL",
-        ),
-    ),
+    "scene_bursts": (lambda s, d: (lambda f: X.bursts(f, S.valley_scenes(f)))(frames(s, d)), None),
     "oversized_scenes": (lambda s, d: (lambda f: X.split_oversized(f, S.valley_scenes(f), 8))(frames(s, d)), None),
     "bootstrap_ci": (lambda s, d: X.bootstrap_interval(_rank_rows(s, d), "recall_at_5"), None),
     "query_phrase": (

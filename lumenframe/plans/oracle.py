@@ -36,8 +36,8 @@ th AS (SELECT o.video_id, o.iframe_scene_id,
   coalesce(greatest(1.0, coalesce(o.p90, g.p90)), 0.0) AS candidate_thresh, coalesce(greatest(1.0, coalesce(o.p95, g.p95)), 0.0) AS salient_thresh
   FROM (SELECT video_id, iframe_scene_id, quantile_cont(packet_size, 0.9) FILTER (pict_type <> 'I') AS p90, quantile_cont(packet_size, 0.95) FILTER (pict_type <> 'I') AS p95 FROM s GROUP BY ALL) o
   JOIN (SELECT video_id, quantile_cont(packet_size, 0.9) FILTER (pict_type <> 'I') AS p90, quantile_cont(packet_size, 0.95) FILTER (pict_type <> 'I') AS p95 FROM s GROUP BY ALL) g USING (video_id))"""
-MAXIMA = "coalesce(packet_size > max(packet_size) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND packet_size > max(packet_size) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), false)"
-MINIMA = "coalesce(packet_size < min(packet_size) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND packet_size < min(packet_size) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), false)"
+MAXIMA = "coalesce(pict_type <> 'I' AND packet_size > max(packet_size) OVER (PARTITION BY video_id, pict_type = 'I' ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND packet_size > max(packet_size) OVER (PARTITION BY video_id, pict_type = 'I' ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), false)"
+MINIMA = "coalesce(pict_type <> 'I' AND packet_size < min(packet_size) OVER (PARTITION BY video_id, pict_type = 'I' ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND packet_size < min(packet_size) OVER (PARTITION BY video_id, pict_type = 'I' ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), false)"
 TIERS = f"""
 x AS (SELECT *, {MAXIMA} AS is_max FROM s),{THRESHOLDS},
 t AS (SELECT x.*, candidate_thresh, salient_thresh, CASE WHEN pict_type = 'I' THEN 'I_FRAME' WHEN is_max AND packet_size >= salient_thresh THEN 'PEAK'
@@ -45,10 +45,10 @@ t AS (SELECT x.*, candidate_thresh, salient_thresh, CASE WHEN pict_type = 'I' TH
   FROM x JOIN th USING (video_id, iframe_scene_id))"""
 TIERED = f"{FRAMES},\n{SCENES.format('f')},{TIERS}"
 
-#: Nodes: frames with an action score of at least 0.6, peaks from 0.8 on.
+#: Nodes: all frames, peaks from 0.8 on, salient from 0.35 on.
 NODES = f"""{SCORED_E},
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_idx) - 1 AS pos, max(action_score) OVER (PARTITION BY video_id) - min(action_score) OVER (PARTITION BY video_id) AS span,
-  CASE WHEN action_score >= 0.8 OR pict_type = 'I' THEN 'L1_PEAK' WHEN action_score >= 0.7 THEN 'L2_SALIENT' ELSE 'L3_CANDIDATE' END AS tier FROM a WHERE action_score >= 0.6)"""
+  CASE WHEN round(action_score, 6) >= 0.8 OR pict_type = 'I' THEN 'L1_PEAK' WHEN round(action_score, 6) >= 0.35 THEN 'L2_SALIENT' ELSE 'L3_CANDIDATE' END AS tier FROM a)"""
 _COS = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN 0.0 ELSE coalesce(list_cosine_similarity({0}, {1}), 0.0) END"
 
 
@@ -68,12 +68,14 @@ def _edge(kind: str) -> str:
 _STM = f"""greatest(0.0, {_COS.format('u.emb', 'w.emb')}) AS s, CASE WHEN u.span = 0 THEN 1.0 ELSE greatest(0.0, 1 - abs(u.action_score - w.action_score) / u.span) END AS m, 1 / (1 + abs(u.timestamp - w.timestamp)) AS t"""
 _ENDS = "u.video_id, least(u.frame_idx, w.frame_idx) AS src, greatest(u.frame_idx, w.frame_idx) AS dst"
 COMPLETE = f"ec AS (SELECT video_id, src, dst, 'fully_connected' AS edge_type, {_edge('fully_connected')} AS weight FROM (SELECT {_ENDS}, {_STM} FROM n u JOIN n w ON u.video_id = w.video_id AND u.frame_idx < w.frame_idx))"
-TEMPORAL = f"et AS (SELECT video_id, src, dst, 'temporal' AS edge_type, {_edge('temporal')} AS weight FROM (SELECT {_ENDS}, {_STM} FROM n u JOIN n w ON u.video_id = w.video_id AND w.pos - u.pos BETWEEN 1 AND 2))"
+TEMPORAL = f"et AS (SELECT video_id, src, dst, 'temporal' AS edge_type, {_edge('temporal')} AS weight FROM (SELECT {_ENDS}, {_STM} FROM n u JOIN n w ON u.video_id = w.video_id AND w.pos - u.pos = 1))"
+#: Topology G14.
+TEMPORAL_2 = f"et AS (SELECT video_id, src, dst, 'temporal' AS edge_type, {_edge('temporal')} AS weight FROM (SELECT {_ENDS}, {_STM} FROM n u JOIN n w ON u.video_id = w.video_id AND w.pos - u.pos BETWEEN 1 AND 2))"
 SEMANTIC = f"""es AS (SELECT DISTINCT video_id, src, dst, 'semantic' AS edge_type, {_edge('semantic')} AS weight FROM (
   SELECT {_ENDS}, {_STM}, row_number() OVER (PARTITION BY u.video_id, u.frame_idx ORDER BY list_cosine_similarity(u.emb, w.emb) DESC, w.frame_idx DESC) AS rn
-  FROM n u JOIN n w ON u.video_id = w.video_id AND u.frame_idx <> w.frame_idx WHERE u.tier <> 'L3_CANDIDATE' AND w.tier <> 'L3_CANDIDATE' AND list_cosine_similarity(u.emb, w.emb) >= 0.5) WHERE rn <= 4)"""
-MOTION = f"""em AS (SELECT DISTINCT video_id, src, dst, 'motion' AS edge_type, {_edge('motion')} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY video_id, me ORDER BY m DESC, other DESC) AS rn FROM (
-  SELECT {_ENDS}, {_STM}, u.frame_idx AS me, w.frame_idx AS other FROM n u JOIN n w ON u.video_id = w.video_id AND u.frame_idx <> w.frame_idx)) WHERE rn <= 3)"""
+  FROM n u JOIN n w ON u.video_id = w.video_id AND u.frame_idx <> w.frame_idx WHERE u.tier = 'L2_SALIENT' AND w.tier = 'L2_SALIENT' AND list_cosine_similarity(u.emb, w.emb) >= 0.5) WHERE rn <= 4)"""
+MOTION = f"""em AS (SELECT DISTINCT video_id, src, dst, 'motion' AS edge_type, {_edge('motion')} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY video_id, me ORDER BY far, other DESC) AS rn FROM (
+  SELECT {_ENDS}, {_STM}, u.frame_idx AS me, w.frame_idx AS other, round(abs(round(u.action_score, 9) - round(w.action_score, 9)), 9) AS far FROM n u JOIN n w ON u.video_id = w.video_id AND u.frame_idx <> w.frame_idx)) WHERE rn <= 2)"""
 
 
 def _nearest(kind: str, probe: str, anchor: str) -> str:
@@ -124,7 +126,7 @@ SQL = {
     "local_maxima": w(FRAMES, f"SELECT video_id, frame_idx FROM (SELECT *, {MAXIMA} AS m FROM f) WHERE m"),
     "local_minima_scenes": w(
         FRAMES,
-        f"""cutt AS (SELECT video_id, frame_idx, n FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, frame_idx = 0 OR ({MINIMA} AND packet_size < quantile_cont(packet_size, 0.25) OVER (PARTITION BY video_id)) AS cut FROM f) WHERE cut),
+        f"""cutt AS (SELECT video_id, frame_idx, n FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, frame_idx = 0 OR ({MINIMA} AND packet_size < quantile_cont(packet_size, 0.25) FILTER (pict_type <> 'I') OVER (PARTITION BY video_id)) AS cut FROM f) WHERE cut),
 sp AS (SELECT video_id, frame_idx AS x, coalesce(lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx), n) AS y FROM cutt),
 pc AS (SELECT video_id, unnest(range(x, y, 300)) AS start_idx, y FROM sp)""",
         "SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_idx) - 1 AS scene_id, start_idx, least(start_idx + 300, y) AS end_idx FROM pc",
@@ -152,11 +154,11 @@ FROM hl h JOIN tp q USING (video_id) GROUP BY h.video_id, h.frame_idx, h.v""",
     "edges_dedup": w(NODES, DEDUPED, f"SELECT {_E6} FROM ed"),
     "edges_block_diagonal": w(NODES, COMPLETE, f"SELECT ec.{_E6.replace('video_id, ', 'video_id, ', 1)} FROM ec JOIN n u ON u.video_id = ec.video_id AND u.frame_idx = src JOIN n w ON w.video_id = ec.video_id AND w.frame_idx = dst WHERE u.label = w.label"),
     "edge_projection": w(NODES, "g AS (SELECT video_id, label, count(*) AS c FROM n GROUP BY ALL)", "SELECT video_id, sum(c * (c - 1) // 2)::BIGINT AS scene_edges, (sum(c) * (sum(c) - 1) // 2)::BIGINT AS complete_edges, round(CASE WHEN sum(c) > 1 THEN sum(c * (c - 1) // 2) / (sum(c) * (sum(c) - 1) // 2) END, 6) AS ratio FROM g GROUP BY ALL"),
-    "pagerank_static": w(NODES, TEMPORAL, _ranked("sd AS (SELECT video_id, frame_idx, action_score AS seed FROM n)", "et", 0.85, 60), "SELECT video_id, frame_idx, round(p, 6) + 0.0 AS pagerank FROM pr WHERE k = 60", recursive=True),
+    "pagerank_static": w(NODES, TEMPORAL_2, _ranked("sd AS (SELECT video_id, frame_idx, action_score AS seed FROM n)", "et", 0.85, 60), "SELECT video_id, frame_idx, round(p, 6) + 0.0 AS pagerank FROM pr WHERE k = 60", recursive=True),
     "retrieve_hybrid": w(HYBRID, "SELECT video_id, query_id, rank, frame_idx, score FROM hk"),
     "retrieve_ppr": w(
         NODES,
-        TEMPORAL,
+        TEMPORAL_2,
         f"nc AS (SELECT n.*, q, {_COS.format('emb', 'q')} AS sem, CASE WHEN count(*) OVER (PARTITION BY video_id, pict_type) < 2 THEN 0.5 ELSE 0.1 + 0.9 * {_pct('packet_size', 'video_id, pict_type')} END AS conf FROM n JOIN qs ON query_id = 0)",
         _ranked(f"sd AS (SELECT video_id, frame_idx, 0.5 * {_pct('sem', 'video_id')} + 0.5 * {_pct('conf', 'video_id')} AS seed FROM nc)", "et", 0.5, 30),
         "fin AS (SELECT video_id, frame_idx, round(p, 6) + 0.0 AS score FROM pr WHERE k = 30)",

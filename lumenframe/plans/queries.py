@@ -20,8 +20,8 @@ def _scored(spark, d, embeddings=False):
 
 
 def _nodes(spark, d):
-    tier = F.when((F.col("action_score") >= 0.8) | (F.col("pict_type") == "I"), "L1_PEAK").when(F.col("action_score") >= 0.7, "L2_SALIENT").otherwise("L3_CANDIDATE")
-    return G.nodes(_scored(spark, d, True).filter("action_score >= 0.6").withColumn("tier", tier))
+    score = r6(F.col("action_score"))
+    return G.nodes(_scored(spark, d, True).withColumn("tier", G.node_tier(score, F.col("pict_type"), score >= 0.8)))
 
 
 def _edges(df):
@@ -103,7 +103,8 @@ def scene_sparse(spark, d):
 
 
 def _edges_of(spark, d):
-    return G.edges_temporal(_nodes(spark, d))
+    """Topology G14: each frame and its next two."""
+    return G.edges_temporal(_nodes(spark, d), 2)
 
 
 QUERIES = {
