@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import by_video, cosine, edge_weight, motion_similarity, rank_pct, temporal_proximity
+from ..functions.exprs import by_video, cosine, dot, edge_weight, motion_similarity, norm, rank_pct, temporal_proximity
 
 SALIENT = 0.35
 #: Order of the edge families: the first wins among equal weights.
@@ -37,7 +37,7 @@ _SIDE = ["frame_idx", "timestamp", "action_score", "clip_embedding"]
 
 def _weighed(pairs: DataFrame, kind: str, alpha: float = 0.4, beta: float = 0.3) -> DataFrame:
     """pairs with the columns of both sides (u_, v_) to edges."""
-    semantic = F.greatest(F.lit(0.0), cosine(F.col("u_clip_embedding"), F.col("v_clip_embedding")))
+    semantic = F.greatest(F.lit(0.0), _similar(pairs))
     motion = motion_similarity(F.col("u_action_score"), F.col("v_action_score"), F.col("score_range"))
     temporal = temporal_proximity(F.col("u_timestamp") - F.col("v_timestamp"))
     low, high = F.least("u_frame_idx", "v_frame_idx"), F.greatest("u_frame_idx", "v_frame_idx")
@@ -46,8 +46,17 @@ def _weighed(pairs: DataFrame, kind: str, alpha: float = 0.4, beta: float = 0.3)
     )
 
 
+def _similar(pairs: DataFrame) -> Column:
+    u, v = F.col("u_clip_embedding"), F.col("v_clip_embedding")
+    if "u_norm" not in pairs.columns:
+        return cosine(u, v)
+    lengths = F.col("u_norm") * F.col("v_norm")
+    return F.coalesce(F.when(lengths > 0, dot(u, v) / lengths), F.lit(0.0))
+
+
 def _side(n: DataFrame, p: str, *more: str) -> DataFrame:
-    return n.select("video_id", *more, *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
+    """A side of a join of nodes; lengths are computed once a node, not once a pair."""
+    return n.select("video_id", *more, *[F.col(c).alias(f"{p}_{c}") for c in _SIDE], norm(F.col("clip_embedding")).alias(f"{p}_norm"))
 
 
 def edges_complete(n: DataFrame, group: str | None = None, alpha: float = 0.4, beta: float = 0.3) -> DataFrame:
@@ -95,7 +104,7 @@ def edges_semantic(n: DataFrame, k: int = 4, least: float = 0.5) -> DataFrame:
     """For each salient node the k most similar salient ones, ties by the larger frame."""
     s = n.filter("tier = 'L2_SALIENT'")
     pairs = _side(s, "u", "score_range").join(_side(s, "v"), "video_id").filter("u_frame_idx != v_frame_idx")
-    pairs = pairs.withColumn("sim", cosine(F.col("u_clip_embedding"), F.col("v_clip_embedding"))).filter(F.col("sim") >= least)
+    pairs = pairs.withColumn("sim", _similar(pairs)).filter(F.col("sim") >= least)
     best = Window.partitionBy("video_id", "u_frame_idx").orderBy(F.desc("sim"), F.desc("v_frame_idx"))
     return _weighed(pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k), "semantic").dropDuplicates(["video_id", "src", "dst"])
 
