@@ -86,7 +86,7 @@ def part_sizes(s: np.ndarray) -> np.ndarray:
 
 def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             m = minima(sets)
             keys = band_keys(m)
