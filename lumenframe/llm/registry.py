@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, html_text, minhash, packing, quality, substring_dedup, toxicity, url_filter, warc
+from . import decontaminate, divergence, embedding_dedup, html_text, licenses, minhash, packing, quality, spelling, substring_dedup, toxicity, url_filter, warc
 
 _QUERIES = {
     "op1_warc_revisits": (warc.op1_warc_revisits, warc.ORACLE_SQL),
@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_quality": (quality.op8_quality, None),
     "op9_minhash_dedup": (minhash.op9_minhash_dedup, minhash.ORACLE_SQL),
     "op10_embedding_dedup": (embedding_dedup.op10_embedding_dedup, embedding_dedup.ORACLE_SQL),
+    "op11_license_scan": (licenses.op11_license_scan, licenses.ORACLE_SQL),
+    "op12_source_divergence": (divergence.op12_source_divergence, divergence.ORACLE_SQL),
+    "op13_spelling_variants": (spelling.op13_spelling_variants, None),
 }
 
 
