@@ -48,24 +48,34 @@ def bootstrap_interval(values: DataFrame, column: str, replicates: int = 500, se
     return v.agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("videos")).crossJoin(interval).select("mean", "videos", "replicates", F.col("p")[0].alias("ci_lower"), F.col("p")[1].alias("ci_upper"))
 
 
-def split_oversized(f: DataFrame, spans: DataFrame, longest: int, column: str = "packet_size") -> DataFrame:
-    """Spans longer than `longest` are split at their lowest interior frame until none is. The choice
-    depends on the split before, so a video is one group."""
+def split_oversized(f: DataFrame, spans: DataFrame, cap: int, column: str = "packet_size") -> DataFrame:
+    """Spans with more than `cap` likely survivors are split until none has: frames that are no keyframes and reach the 90th percentile of the
+    span's own curve. A split is at the lowest such frame inside the span (the earliest of equals), in its middle if fewer than three are
+    inside. Each choice depends on the one before, so a span is one group (300 frames at most where valley_scenes made it)."""
+    if cap < 1:
+        raise ValueError("a span has to be allowed one survivor")
 
-    def one(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("frame_idx")["v"].to_numpy()
-        todo, done = [(int(a), int(b)) for a, b in zip(s["start_idx"], s["end_idx"], strict=True)], []
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("frame_idx")
+        curve = g.dropna(subset=["v"])
+        at, v = curve["frame_idx"].to_numpy(int), curve["v"].to_numpy(float)
+        todo, done = [(int(g["start_idx"].iloc[0]), int(g["end_idx"].iloc[0]))], []
         while todo:
             a, b = todo.pop()
-            if b - a <= longest or b - a < 3:
+            x = v[np.searchsorted(at, a) : np.searchsorted(at, b)]
+            if not len(x) or (x >= np.percentile(x, 90)).sum() <= cap:
                 done.append((a, b))
-            else:
-                cut = a + 1 + int(x[a + 1 : b - 1].argmin())
-                todo += [(a, cut), (cut, b)]
-        video = g["video_id"].iloc[0] if len(g) else s["video_id"].iloc[0]
-        return pd.DataFrame([(video, k, a, b) for k, (a, b) in enumerate(sorted(done))], columns=["video_id", "scene_id", "start_idx", "end_idx"])
-
-    return f.select("video_id", "frame_idx", F.col(column).alias("v")).groupBy("video_id").cogroup(spans.select("video_id", "start_idx", "end_idx").groupBy("video_id")).applyInPandas(one, "video_id long, scene_id long, start_idx long, end_idx long")
+                continue
+            i, j = np.searchsorted(at, a, "right"), np.searchsorted(at, b)
+            cut = int(at[i + v[i:j].argmin()]) if j - i >= 3 else (a + b) // 2
+            todo += [(a, cut), (cut, b)]
+        return pd.DataFrame({"video_id": g["video_id"].iloc[0], "start_idx": [a for a, _ in done], "end_idx": [b for _, b in done]})
+
+    at = spans.select("video_id", "start_idx", "end_idx", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("frame_idx"))
+    curve = f.filter("pict_type != 'I'").select("video_id", "frame_idx", F.col(column).cast("double").alias("v"))
+    split = at.join(curve, ["video_id", "frame_idx"], "left").groupBy("video_id", "start_idx", "end_idx").applyInPandas(one, "video_id long, start_idx long, end_idx long")
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("start_idx")) - 1
+    return split.select("video_id", number.cast("bigint").alias("scene_id"), "start_idx", "end_idx")
 
 
 def bursts(f: DataFrame, spans: DataFrame, column: str = "packet_size", percentile: float = 75, distance: int = 15) -> DataFrame:

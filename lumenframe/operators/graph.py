@@ -135,16 +135,17 @@ def deduped(*families: DataFrame) -> DataFrame:
     return every.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
 
 
-def pagerank(node_rows: DataFrame, edges: DataFrame, seed: str, damping: float, rounds: int) -> DataFrame:
+def pagerank(node_rows: DataFrame, edges: DataFrame, seed: str, damping: float, rounds: int, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Personalised PageRank of every video's undirected graph; node_rows(video_id, frame_idx,
     seed), edges(video_id, src, dst, weight). Dangling mass and teleports follow the seed, which is
-    uniform where its sum is 0. A fixed number of rounds; a graph is one group (a few thousand nodes)."""
+    uniform where its sum is 0. A fixed number of rounds; a graph, by its keys, is one group (a few thousand nodes;
+    ranking.pagerank_rounds has no such bound)."""
 
     def one(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("frame_idx").reset_index(drop=True)
         size = len(n)
         if not size:
-            return pd.DataFrame({"video_id": [], "frame_idx": [], "pagerank": []})
+            return pd.DataFrame({c: [] for c in (*keys, "frame_idx", "pagerank")})
         place = pd.Series(range(size), index=n["frame_idx"])
         s = np.maximum(n["seed"].to_numpy(float), 0)
         s = s / s.sum() if s.sum() > 0 else np.full(size, 1 / size)
@@ -156,11 +157,11 @@ def pagerank(node_rows: DataFrame, edges: DataFrame, seed: str, damping: float,
         x = s.copy()
         for _ in range(rounds):
             x = damping * (np.bincount(to, weights=share * x[frm], minlength=size) + x[out == 0].sum() * s) + (1 - damping) * s
-        return pd.DataFrame({"video_id": n["video_id"], "frame_idx": n["frame_idx"], "pagerank": x})
+        return n[[*keys, "frame_idx"]].assign(pagerank=x)
 
-    left = node_rows.select("video_id", "frame_idx", F.col(seed).alias("seed")).groupBy("video_id")
-    right = edges.select("video_id", "src", "dst", "weight").groupBy("video_id")
-    return left.cogroup(right).applyInPandas(one, "video_id long, frame_idx long, pagerank double")
+    left = node_rows.select(*keys, "frame_idx", F.col(seed).alias("seed")).groupBy(*keys)
+    right = edges.select(*[F.col(k).alias(k) for k in keys], "src", "dst", "weight").groupBy(*keys)
+    return left.cogroup(right).applyInPandas(one, f"{' long, '.join(keys)} long, frame_idx long, pagerank double")
 
 
 def ppr_seed(n: DataFrame, similarity: str = "sem", conf: str = "codec_conf", weight: float = 0.5) -> DataFrame:

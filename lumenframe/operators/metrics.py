@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import by_video, in_order, interval_distance, interval_hit, interval_iou, valid_interval
+from ..functions.exprs import by_video, dot, in_order, interval_distance, interval_hit, interval_iou, valid_interval
 from .export import bootstrap_interval
 
 
@@ -188,12 +188,15 @@ def spearman(f: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def fidelity_margin(f: DataFrame) -> DataFrame:
-    """E12 without pairs: the mean similarity of a frame's vector to the other frames of its label minus that
-    to all other frames of its video, from sums of unit vectors."""
-    unit = F.transform("clip_embedding", lambda y: y.cast("double") / F.sqrt(F.aggregate("clip_embedding", F.lit(0.0), lambda s, z: s + z.cast("double") * z.cast("double"))))
-    u = f.select("video_id", "frame_idx", "label", unit.alias("x"))
-    e = u.select("video_id", "frame_idx", "label", F.posexplode("x").alias("pos", "y"))
-    own, every = Window.partitionBy("video_id", "label", "pos"), Window.partitionBy("video_id", "pos")
-    s = e.select("video_id", "frame_idx", (F.col("y") * F.sum("y").over(own)).alias("a"), F.count(F.lit(1)).over(own).alias("na"), (F.col("y") * F.sum("y").over(every)).alias("b"), F.count(F.lit(1)).over(every).alias("nb"))
-    g = s.groupBy("video_id", "frame_idx").agg(F.sum("a").alias("a"), F.max("na").alias("na"), F.sum("b").alias("b"), F.max("nb").alias("nb"))
-    return g.filter("na > 1").select("video_id", "frame_idx", ((F.col("a") - 1) / (F.col("na") - 1) - (F.col("b") - 1) / (F.col("nb") - 1)).alias("margin"))
+    """f(video_id, frame_idx, caption_embedding, clip_embedding): the cosine of a frame's caption to its own frame minus its mean cosine to all
+    other frames of the video. The latter is one product with the sum of the video's unit vectors, so no pairs are made. Rows without one of the
+    vectors are left out; a frame that is alone in its video has a null margin."""
+
+    def unit(c: str) -> Column:
+        return F.transform(c, lambda y: y.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, z: s + z.cast("double") * z.cast("double"))))
+
+    u = f.filter("caption_embedding is not null and clip_embedding is not null").select("video_id", "frame_idx", unit("caption_embedding").alias("cap"), unit("clip_embedding").alias("vis"))
+    sums = u.select("video_id", F.posexplode("vis").alias("pos", "y")).groupBy("video_id", "pos").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = sums.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("total"), F.max("n").alias("n"))
+    own = dot(F.col("cap"), F.col("vis"))
+    return u.join(sums, "video_id").select("video_id", "frame_idx", F.when(F.col("n") > 1, own - (dot(F.col("cap"), F.col("total")) - own) / (F.col("n") - 1)).alias("margin"))

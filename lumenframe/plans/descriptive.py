@@ -53,7 +53,7 @@ QUERIES = {
         lambda s, d: _r(T.diversity(table(s, d, "documents"), "text", F.lower("text")), "unique_ratio", "normalized_ratio", "mean_length"),
         "SELECT count(*) AS n, round(count(DISTINCT text) / count(*), 6) AS unique_ratio, round(count(DISTINCT lower(text)) / count(*), 6) AS normalized_ratio, round(avg(length(text)), 6) AS mean_length FROM documents WHERE text IS NOT NULL",
     ),
-    "most_repeated": (lambda s, d: T.most_repeated(table(s, d, "documents").withColumn("caption", C.caption_normalized(F.substring_index("text", ".", 1))), "caption"), None),
+    "most_repeated": (lambda s, d: T.most_repeated(table(s, d, "documents").withColumn("caption", C.caption_normalized(F.substring_index("text", ".", 1))), "caption"), r"SELECT caption, count(*) AS n FROM (SELECT trim(regexp_replace(regexp_replace(lower(split_part(text, '.', 1)), '[^\p{L}\p{N} \n\t]', '', 'g'), '[ \n\t]+', ' ', 'g')) AS caption FROM documents WHERE text IS NOT NULL) GROUP BY caption ORDER BY n DESC, caption LIMIT 5"),
     "codec_sanity": (
         lambda s, d: _r(T.codec_sanity(frames(s, d)), "mean", "std", "spread"),
         w(FRAMES, "g AS (SELECT video_id, count(*) FILTER (pict_type = 'I') AS i, count(*) FILTER (pict_type = 'P') AS p, count(*) FILTER (pict_type = 'B') AS b, avg(packet_size) AS mean, coalesce(stddev_samp(packet_size), 0.0) AS std, max(packet_size) / greatest(min(packet_size), 1.0) AS spread FROM f GROUP BY ALL)", "SELECT video_id, i, p, b, round(mean, 6) AS mean, round(std, 6) AS std, round(spread, 6) AS spread, CASE WHEN p + b = 0 OR std < 10 OR spread < 5 THEN 'SUSPECT' ELSE 'PASS' END AS status FROM g"),

@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import signal as S
 from ..operators import vector as V
 from ..sources.frames import frames, queries_of, table
-from .oracle import COMPLETE, FRAMES, NODES, SCORED, SCORED_E, SIMILAR, TIERED, w
+from .oracle import COMPLETE, EMBEDDED, FRAMES, NODES, SCORED, SCORED_E, SIMILAR, TIERED, w
 
 
 def _scored(s, d, e=False):
@@ -160,6 +160,13 @@ def keep_topk(s, d):
     return V.kept_top(f, score, 10).select("video_id", "frame_idx", "keep_score", "rank")
 
 
+def _captioned(s, d):
+    """Frames with a second vector, which stands for their caption's."""
+    f, v = frames(s, d, True), table(s, d, "embeddings")
+    at = (F.col("event_id") * 31 + 7) % v.count()
+    return f.withColumn("caption_vec", at).join(v.select(F.col("vec_id").alias("caption_vec"), F.col("embedding").alias("caption_embedding")), "caption_vec")
+
+
 def dual_all(s, d):
     """The similarity to every query; dual_similarity is that to query 0."""
     q = queries_of(s, d)
@@ -184,7 +191,7 @@ QUERIES = {
         keep_topk,
         w(SCORED, "k AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM a), ks AS (SELECT video_id, frame_idx, round(0.30 * action_score + 0.20 * luma_diff_energy + 0.10 * luma_entropy + 0.05 * least(greatest(1 - (n - 1 - frame_idx) / greatest(n - 1, 1), 0.0), 1.0), 6) + 0.0 AS keep_score FROM k)", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY keep_score DESC, frame_idx) AS rank FROM ks) WHERE rank <= 10"),
     ),
-    "dual_similarity_all": (dual_all, None),
+    "dual_similarity_all": (dual_all, w(SCORED_E, SIMILAR, "SELECT video_id, query_id, frame_idx, round(0.7 * greatest(sem, 0.0) + 0.3 * CASE WHEN sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) < 1e-8 THEN 0.0 ELSE packet_size / sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) END, 6) + 0.0 AS similarity FROM sq")),
     "dual_similarity": (dual, w(SCORED_E, SIMILAR, "SELECT video_id, frame_idx, round(0.7 * greatest(sem, 0.0) + 0.3 * CASE WHEN sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) < 1e-8 THEN 0.0 ELSE packet_size / sqrt(packet_size ** 2 + motion_magnitude ** 2 + luma_entropy ** 2) END, 6) + 0.0 AS similarity FROM sq WHERE query_id = 0")),
     "motion_embedding": (
         lambda s, d: frames(s, d).withColumn("m", V.motion_embedding(F.col("packet_size"), F.col("motion_magnitude"), F.col("luma_entropy"))).select("video_id", "frame_idx", *[r6(F.col("m")[k]).alias(f"m{k}") for k in range(3)]),
@@ -305,8 +312,13 @@ rc AS (SELECT action_t, persistence_t, avg(hit) AS recall FROM hi GROUP BY ALL)"
         "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     ),
     "fidelity_margin": (
-        lambda s, d: _r(M.fidelity_margin(frames(s, d, True)), "margin"),
-        w(SCORED_E, "p AS (SELECT u.video_id, u.frame_idx, list_cosine_similarity(u.emb, x.emb) AS c, u.label = x.label AS own FROM fe u JOIN fe x ON u.video_id = x.video_id AND u.frame_idx <> x.frame_idx)", "SELECT video_id, frame_idx, round(avg(c) FILTER (own) - avg(c), 6) + 0.0 AS margin FROM p GROUP BY ALL HAVING count(*) FILTER (own) > 0"),
+        lambda s, d: _r(M.fidelity_margin(_captioned(s, d)), "margin"),
+        w(
+            EMBEDDED,
+            "p AS (SELECT fe.*, e.embedding::DOUBLE[] AS cap FROM fe JOIN embeddings e ON e.vec_id = (event_id * 31 + 7) % (SELECT count(*) FROM embeddings) WHERE emb IS NOT NULL)",
+            "o AS (SELECT u.video_id, u.frame_idx, avg(list_cosine_similarity(u.cap, x.emb)) AS other FROM p u JOIN p x ON u.video_id = x.video_id AND u.frame_idx <> x.frame_idx GROUP BY ALL)",
+            "SELECT p.video_id, p.frame_idx, round(list_cosine_similarity(cap, emb) - other, 6) + 0.0 AS margin FROM p LEFT JOIN o ON o.video_id = p.video_id AND o.frame_idx = p.frame_idx",
+        ),
     ),
     "event_recall": (
         event_metrics,
@@ -335,7 +347,7 @@ ns AS (SELECT video_id, count(*) AS samples FROM su GROUP BY ALL)""",
         "SELECT label::BIGINT AS label, vectors, distinct_vectors, min_norm, max_norm, mean_std FROM (SELECT label, count(*) AS vectors, count(DISTINCT embedding) AS distinct_vectors, round(min(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS min_norm, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS max_norm FROM embeddings GROUP BY ALL) JOIN (SELECT label, round(avg(s), 6) AS mean_std FROM (SELECT label, pos, stddev_pop(y) AS s FROM (SELECT label, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY ALL) USING (label)",
     ),
     "scene_bursts": (lambda s, d: (lambda f: X.bursts(f, S.valley_scenes(f)))(frames(s, d)), None),
-    "oversized_scenes": (lambda s, d: (lambda f: X.split_oversized(f, S.valley_scenes(f), 8))(frames(s, d)), None),
+    "oversized_scenes": (lambda s, d: (lambda f: X.split_oversized(f, S.valley_scenes(f), 2))(frames(s, d)), None),
     "bootstrap_ci": (lambda s, d: X.bootstrap_interval(_rank_rows(s, d), "recall_at_5"), None),
     "query_phrase": (
         lambda s, d: table(s, d, "benchmark").select("item_id", X.query_phrase(F.col("text")).alias("phrase")),

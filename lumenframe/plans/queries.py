@@ -8,7 +8,9 @@ from ..functions.exprs import by_video, r6
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import signal as S
+from ..operators.ranking import pagerank_seeds
 from ..sources.frames import frames, packet_curve, queries_of
+from ..sources.shared import written
 
 
 def _rounded(df, *columns):
@@ -24,6 +26,11 @@ def _nodes(spark, d):
     return G.nodes(_scored(spark, d, True).withColumn("tier", G.node_tier(score, F.col("pict_type"), score >= 0.8)))
 
 
+def _nodes_once(spark, d):
+    """Nodes written once, for plans that read them many times: four edge families, their windows and self-joins."""
+    return written(_nodes(spark, d), "nodes")
+
+
 def _edges(df):
     return _rounded(df.select("video_id", "src", "dst", "edge_type", "weight"), "weight")
 
@@ -51,11 +58,9 @@ def retrieve_ppr(spark, d):
 
 def retrieve_ppr_union(spark, d):
     """G6 on the default graph, the union of all edge families, for every query; retrieve_ppr is topology G14 and query 0."""
-    q = queries_of(spark, d)
-    key = F.col("video_id") * 1000 + F.col("query_id")
-    seeded = G.ppr_seed(R.with_similarity(S.codec_conf(_nodes(spark, d)), q)).withColumn("video_id", key)
-    edges = _dedup(_nodes(spark, d)).crossJoin(F.broadcast(q.select("query_id"))).withColumn("video_id", key)
-    scores = _rounded(G.pagerank(seeded, edges, "seed", 0.5, 30), "pagerank").select(F.expr("video_id div 1000").alias("video_id"), (F.col("video_id") % 1000).cast("long").alias("query_id"), "frame_idx", F.col("pagerank").alias("score"))
+    n = _nodes_once(spark, d)
+    seeded = G.ppr_seed(R.with_similarity(S.codec_conf(n), queries_of(spark, d)))
+    scores = _rounded(pagerank_seeds(seeded, _dedup(n), 0.5, 30), "pagerank").withColumnRenamed("pagerank", "score")
     w = R.Window.partitionBy("video_id", "query_id").orderBy(F.desc("score"), "frame_idx")
     return scores.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 8").select("video_id", "query_id", "rank", "frame_idx", "score")
 
@@ -129,11 +134,11 @@ QUERIES = {
     "edges_hierarchy": lambda s, d: _edges(G.edges_hierarchy(_nodes(s, d))),
     "edges_semantic_topk": lambda s, d: _edges(G.edges_semantic(_nodes(s, d))),
     "edges_motion_knn": lambda s, d: _edges(G.edges_motion(_nodes(s, d))),
-    "edges_dedup": lambda s, d: _edges(_dedup(_nodes(s, d))),
+    "edges_dedup": lambda s, d: _edges(_dedup(_nodes_once(s, d))),
     "edges_block_diagonal": lambda s, d: _edges(G.edges_complete(_nodes(s, d), "label")),
     "edge_projection": lambda s, d: _rounded(G.edge_projection(_nodes(s, d), "label"), "ratio"),
     "pagerank_static": lambda s, d: _rounded(G.pagerank(_nodes(s, d), _edges_of(s, d), "action_score", 0.85, 60), "pagerank"),
-    "pagerank_union": lambda s, d: _rounded(G.pagerank(_nodes(s, d), _dedup(_nodes(s, d)), "action_score", 0.85, 60), "pagerank"),
+    "pagerank_union": lambda s, d: _rounded((lambda n: G.pagerank(n, _dedup(n), "action_score", 0.85, 60))(_nodes_once(s, d)), "pagerank"),
     "retrieve_hybrid": lambda s, d: R.hybrid(_scored(s, d, True), queries_of(s, d)),
     "retrieve_ppr": retrieve_ppr,
     "retrieve_ppr_union": retrieve_ppr_union,

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,33 @@ def test_bootstrap_holds_the_mean(spark):
     assert r == X.bootstrap_interval(v.repartition(7), "x").first()
 
 
-def test_oversized_spans_are_split_at_the_lowest(spark):
-    f = spark.createDataFrame([(1, i, float(abs(i - 6) + 1)) for i in range(16)], "video_id long, frame_idx long, packet_size double")
-    spans = spark.createDataFrame([(1, 0, 16)], "video_id long, start_idx long, end_idx long")
-    assert [(r.start_idx, r.end_idx) for r in X.split_oversized(f, spans, 10).orderBy("start_idx").collect()] == [(0, 6), (6, 16)]
+def _split_spans(curve, spans, cap):
+    """One span after the other, by lists."""
+    todo, done = list(spans), []
+    while todo:
+        a, b = todo.pop()
+        sizes = [v for i, v in curve if a <= i < b]
+        if not sizes or sum(v >= np.percentile(sizes, 90) for v in sizes) <= cap:
+            done.append((a, b))
+            continue
+        inside = [(v, i) for i, v in curve if a < i < b]
+        cut = min(inside)[1] if len(inside) >= 3 else (a + b) // 2
+        todo += [(a, cut), (cut, b)]
+    return sorted(done)
+
+
+@pytest.mark.parametrize("cap", [1, 2, 5])
+def test_oversized_spans_are_split_by_survivors(spark, cap):
+    r = np.random.default_rng(cap)
+    sizes = r.integers(1, 9, 120).astype(float)  # many ties
+    kinds = ["I" if i % 17 == 0 else "P" for i in range(120)]
+    f = spark.createDataFrame([(1, i, float(sizes[i]), kinds[i]) for i in range(120)], "video_id long, frame_idx long, packet_size double, pict_type string")
+    spans = [(0, 70), (70, 118), (118, 119), (119, 120)]
+    got = X.split_oversized(f, spark.createDataFrame([(1, a, b) for a, b in spans], "video_id long, start_idx long, end_idx long"), cap).collect()
+    want = _split_spans([(i, sizes[i]) for i in range(120) if kinds[i] != "I"], spans, cap)
+    assert sorted((r.start_idx, r.end_idx) for r in got) == want and sorted(r.scene_id for r in got) == list(range(len(want)))
+
+
+def test_a_span_needs_a_survivor(spark):
+    with pytest.raises(ValueError):
+        X.split_oversized(None, None, 0)

@@ -6,12 +6,14 @@ import duckdb
 import pytest
 from conftest import DATA
 
+from lumenframe.plans.descent import QUERIES as DESCENT
+from lumenframe.plans.descent import SQL_OF_OTHERS
 from lumenframe.plans.descriptive import QUERIES as DESCRIPTIVE
 from lumenframe.plans.evaluation import QUERIES as EVALUATION
 from lumenframe.plans.oracle import SQL
 from lumenframe.plans.queries import QUERIES
 
-ALL = {**{n: (q, SQL.get(n)) for n, q in QUERIES.items()}, **EVALUATION, **DESCRIPTIVE}
+ALL = {**{n: (q, {**SQL, **SQL_OF_OTHERS}.get(n)) for n, q in QUERIES.items()}, **EVALUATION, **DESCRIPTIVE, **DESCENT}
 
 
 def plain(v):
