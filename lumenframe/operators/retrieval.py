@@ -19,16 +19,16 @@ def with_similarity(f: DataFrame, queries: DataFrame) -> DataFrame:
     return f.join(scores, F.col("vec_id").eqNullSafe(F.col("_vec"))).drop("_vec")
 
 
-def hybrid(scored: DataFrame, queries: DataFrame, target: float = 0.5, top_k: int = 5, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.0, delta: float = 0.0) -> DataFrame:
-    """Weighted sum of similarity, closeness in action, persistence and PageRank; the top_k frames of
-    each video and query, ties in frame order. The row limit is pushed into the window's sort."""
+def hybrid(scored: DataFrame, queries: DataFrame, target: float = 0.5, top_k: int = 5, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.0, delta: float = 0.0, contributions: bool = False) -> DataFrame:
+    """Weighted sum of similarity, closeness in action, persistence and PageRank (0 where the frames have no such column); the top_k frames of
+    each video and query, ties in frame order, on request with what each term adds. The row limit is pushed into the window's sort."""
     span = F.max("action_score").over(by_video()) - F.min("action_score").over(by_video())
     s = with_similarity(scored.withColumn("span", span), queries)
     part = lambda c: F.col(c) if c in scored.columns else F.lit(0.0)
-    score = alpha * F.col("sem") + beta * motion_similarity(F.col("action_score"), F.lit(target), F.col("span")) + gamma * part("persistence_value") + delta * part("pagerank")
-    s = s.withColumn("score", r6(score))
+    terms = {"semantic": alpha * F.col("sem"), "motion_query": beta * motion_similarity(F.col("action_score"), F.lit(target), F.col("span")), "persistence": gamma * part("persistence_value"), "graph": delta * part("pagerank")}
+    s = s.withColumn("score", r6(sum(terms.values(), F.lit(0.0))))
     best = Window.partitionBy("video_id", "query_id").orderBy(F.desc("score"), "frame_idx")
-    return s.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "rank", "frame_idx", "score")
+    return s.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "rank", "frame_idx", "score", *([r6(t).alias(n) for n, t in terms.items()] if contributions else []))
 
 
 def fallback(scored: DataFrame, top_k: int = 5) -> DataFrame:

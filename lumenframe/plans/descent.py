@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r6
+from ..operators import codebooks as K
 from ..operators import evidence as E
 from ..operators import graph as G
+from ..operators import retrieval as R
 from ..operators import scene_sparse as P
 from ..operators import signal as S
+from ..operators import vector as V
 from ..operators.export import STOP_WORDS
 from ..operators.ranking import pagerank_rounds
 from ..sources.frames import frames, queries_of, table
+from ..sources.index import read_index, write_index
+from ..sources.shared import shared_dir
+from ..streaming.cache import cache_fold, merged
 from .evaluation import _VOTES, _votes
-from .oracle import _COS, CENTROIDS, DEDUPED, EMBEDDED, FRAMES, NODES, _edge, _pct, _ranked, w
-from .queries import _dedup, _nodes_once
+from .oracle import _COS, CENTROIDS, DEDUPED, EMBEDDED, FRAMES, NODES, SCORED_E, SIMILAR, SQL, _edge, _pct, _ranked, w
+from .queries import _dedup, _edges_of, _nodes_once, _scored
 
 
 def _grouped(seeds, edges, damping):
@@ -96,6 +104,43 @@ def _scopes(s, d):
     return pairs, table(s, d, "events").select((F.col("event_id") % 2600).alias("claim_id")).distinct().withColumn("verdict", now)
 
 
+def hybrid_full(s, d):
+    """F5 with all four terms: persistence is the prominence of peaks, the graph's that of topology G14."""
+    peaks = S.peak_prominence(_scored(s, d)).select("video_id", "frame_idx", F.round("prominence", 5).alias("persistence_value"))
+    n = _nodes_once(s, d)
+    ranks = G.pagerank(n, _edges_of(s, d), "action_score", 0.85, 60).select("video_id", "frame_idx", F.round("pagerank", 5).alias("pagerank"))
+    f = n.join(peaks, ["video_id", "frame_idx"], "left").join(ranks, ["video_id", "frame_idx"]).fillna(0.0, ["persistence_value"])
+    return R.hybrid(f, P.valid_queries(queries_of(s, d)), 0.5, 5, 0.4, 0.3, 0.3, 0.1, contributions=True)
+
+
+def cache_answers(s, d):
+    """ST1 to ST3: a video's frames in order, after every tenth a pushed rank of the frame before it, after every twentieth a query."""
+    f = _scored(s, d, True)
+    seq = (F.col("frame_idx") * 3).alias("seq")
+    admitted = f.select("video_id", seq, "frame_idx", F.col("action_score").alias("action"), F.lit(0.0).alias("persistence"), F.col("luma_entropy").alias("entropy"), F.col("clip_embedding").alias("embedding"))
+    ranks = f.filter("frame_idx % 10 = 9").select("video_id", (seq + 1).alias("seq"), (F.col("frame_idx") - 1).alias("frame_idx"), F.col("luma_diff_energy").alias("pagerank"))
+    q = queries_of(s, d)
+    asked = f.filter("frame_idx % 20 = 19").select("video_id", (seq + 2).alias("seq"), (F.floor(F.col("frame_idx") / 20) % 8).alias("query_id")).join(F.broadcast(q), "query_id").select("video_id", "seq", F.col("q").alias("embedding"), F.lit(5).alias("top_k"))
+    return cache_fold(merged(admitted, ranks, asked), 16).withColumn("keep_score", r6(F.col("keep_score")))
+
+
+def pq_recall(s, d):
+    """Recall of the trained codes against the exact search, per query."""
+    v, q = table(s, d, "embeddings"), queries_of(s, d)
+    found = K.gated_search(v, q, 16, 6, top_k=20)
+    return K.recall_at(found, V.tiered_exact(v.withColumn("tier", F.lit("CANDIDATE")), q, 5))
+
+
+def index_contents(s, d):
+    """An index of all videos, written as a version, checked by its hashes and read back."""
+    n = _nodes_once(s, d)
+    at = f"{shared_dir(s)}/frame-indexes/{uuid.uuid4().hex}"
+    write_index(n.select("video_id", "frame_idx", "timestamp", "action_score", "packet_size", "pict_type", "clip_embedding"), _dedup(n).select("video_id", "src", "dst", "weight", "edge_type"), at, {"graph_mode": "flat"})
+    f, e, _ = read_index(s, at)
+    ends = e.groupBy("video_id").agg(F.count(F.lit(1)).alias("edges"), r6(F.sum(F.round("weight", 6))).alias("weight"))
+    return f.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"), F.max("codec_conf").alias("codec_conf"), F.max("scene_id").cast("bigint").alias("scene_id")).join(ends, "video_id")
+
+
 _FLOORS, _MOST = [round(0.5 + 0.05 * i, 2) for i in range(9)], [1, 3, 5]
 
 QUERIES = {
@@ -104,6 +149,26 @@ QUERIES = {
         lambda s, d: (lambda n: pagerank_rounds(n, _dedup(n), ["video_id"], "action_score", 0.5, 1e-9))(_nodes_once(s, d)).withColumn("pagerank", r6(F.col("pagerank"))),
         w(NODES, DEDUPED, _ranked("sd AS (SELECT video_id, frame_idx, action_score AS seed FROM n)", "ed", 0.5, 40), "SELECT video_id, frame_idx, round(p, 6) + 0.0 AS pagerank FROM pr WHERE k = 40", recursive=True),
     ),
+    "retrieve_hybrid_full": (
+        hybrid_full,
+        w(
+            SCORED_E,
+            SIMILAR,
+            f"pp AS ({SQL['peak_prominence']})",
+            f"pg AS ({SQL['pagerank_static']})",
+            """x AS (SELECT sq.video_id, query_id, sq.frame_idx, 0.4 * sem AS semantic, 0.3 * CASE WHEN span = 0 THEN 1.0 ELSE greatest(0.0, 1 - abs(action_score - 0.5) / span) END AS motion_query, 0.3 * coalesce(round(prominence, 5), 0.0) AS persistence, 0.1 * round(pagerank, 5) AS graph
+  FROM (SELECT *, max(action_score) OVER (PARTITION BY video_id) - min(action_score) OVER (PARTITION BY video_id) AS span FROM sq) sq LEFT JOIN pp ON pp.video_id = sq.video_id AND pp.frame_idx = sq.frame_idx JOIN pg ON pg.video_id = sq.video_id AND pg.frame_idx = sq.frame_idx),
+y AS (SELECT *, round(semantic + motion_query + persistence + graph, 6) + 0.0 AS score FROM x)""",
+            "SELECT video_id, query_id, rank, frame_idx, score, round(semantic, 6) + 0.0 AS semantic, round(motion_query, 6) + 0.0 AS motion_query, round(persistence, 6) + 0.0 AS persistence, round(graph, 6) + 0.0 AS graph FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id ORDER BY score DESC, frame_idx) AS rank FROM y) WHERE rank <= 5",
+        ),
+    ),
+    "cache_answers": (cache_answers, None),
+    "pq_recall": (pq_recall, None),
+    "diverse_frames": (lambda s, d: K.diverse_frames(frames(s, d, True)), None),
+    "index_contents": (
+        index_contents,
+        w(NODES, DEDUPED, "fc AS (SELECT video_id, count(*) AS frames FROM n GROUP BY ALL)", "ec AS (SELECT video_id, count(*) AS edges, round(sum(round(weight, 6)), 6) + 0.0 AS weight FROM ed GROUP BY ALL)", "SELECT video_id, frames, edges, weight, 0.5::DOUBLE AS codec_conf, -1::BIGINT AS scene_id FROM fc JOIN ec USING (video_id)"),
+    ),
     "scene_bimodality": (
         lambda s, d: P.scene_bimodality(frames(s, d, True)),
         w(
