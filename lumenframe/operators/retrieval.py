@@ -28,7 +28,7 @@ def hybrid(scored: DataFrame, queries: DataFrame, target: float = 0.5, top_k: in
     terms = {"semantic": alpha * F.col("sem"), "motion_query": beta * motion_similarity(F.col("action_score"), F.lit(target), F.col("span")), "persistence": gamma * part("persistence_value"), "graph": delta * part("pagerank")}
     s = s.withColumn("score", r6(sum(terms.values(), F.lit(0.0))))
     best = Window.partitionBy("video_id", "query_id").orderBy(F.desc("score"), "frame_idx")
-    return s.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "rank", "frame_idx", "score", *([r6(t).alias(n) for n, t in terms.items()] if contributions else []))
+    return s.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "rank", "frame_idx", "score", *([(F.round(t, 9) + F.lit(0.0)).alias(n) for n, t in terms.items()] if contributions else []))
 
 
 def fallback(scored: DataFrame, top_k: int = 5) -> DataFrame:

@@ -106,9 +106,9 @@ def _scopes(s, d):
 
 def hybrid_full(s, d):
     """F5 with all four terms: persistence is the prominence of peaks, the graph's that of topology G14."""
-    peaks = S.peak_prominence(_scored(s, d)).select("video_id", "frame_idx", F.round("prominence", 5).alias("persistence_value"))
+    peaks = S.peak_prominence(_scored(s, d)).select("video_id", "frame_idx", r6(F.col("prominence")).alias("persistence_value"))
     n = _nodes_once(s, d)
-    ranks = G.pagerank(n, _edges_of(s, d), "action_score", 0.85, 60).select("video_id", "frame_idx", F.round("pagerank", 5).alias("pagerank"))
+    ranks = G.pagerank(n, _edges_of(s, d), "action_score", 0.85, 60).select("video_id", "frame_idx", r6(F.col("pagerank")).alias("pagerank"))
     f = n.join(peaks, ["video_id", "frame_idx"], "left").join(ranks, ["video_id", "frame_idx"]).fillna(0.0, ["persistence_value"])
     return R.hybrid(f, P.valid_queries(queries_of(s, d)), 0.5, 5, 0.4, 0.3, 0.3, 0.1, contributions=True)
 
@@ -156,10 +156,10 @@ QUERIES = {
             SIMILAR,
             f"pp AS ({SQL['peak_prominence']})",
             f"pg AS ({SQL['pagerank_static']})",
-            """x AS (SELECT sq.video_id, query_id, sq.frame_idx, 0.4 * sem AS semantic, 0.3 * CASE WHEN span = 0 THEN 1.0 ELSE greatest(0.0, 1 - abs(action_score - 0.5) / span) END AS motion_query, 0.3 * coalesce(round(prominence, 5), 0.0) AS persistence, 0.1 * round(pagerank, 5) AS graph
+            """x AS (SELECT sq.video_id, query_id, sq.frame_idx, 0.4 * sem AS semantic, 0.3 * CASE WHEN span = 0 THEN 1.0 ELSE greatest(0.0, 1 - abs(action_score - 0.5) / span) END AS motion_query, 0.3 * coalesce(prominence, 0.0) AS persistence, 0.1 * pagerank AS graph
   FROM (SELECT *, max(action_score) OVER (PARTITION BY video_id) - min(action_score) OVER (PARTITION BY video_id) AS span FROM sq) sq LEFT JOIN pp ON pp.video_id = sq.video_id AND pp.frame_idx = sq.frame_idx JOIN pg ON pg.video_id = sq.video_id AND pg.frame_idx = sq.frame_idx),
 y AS (SELECT *, round(semantic + motion_query + persistence + graph, 6) + 0.0 AS score FROM x)""",
-            "SELECT video_id, query_id, rank, frame_idx, score, round(semantic, 6) + 0.0 AS semantic, round(motion_query, 6) + 0.0 AS motion_query, round(persistence, 6) + 0.0 AS persistence, round(graph, 6) + 0.0 AS graph FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id ORDER BY score DESC, frame_idx) AS rank FROM y) WHERE rank <= 5",
+            "SELECT video_id, query_id, rank, frame_idx, score, round(semantic, 9) + 0.0 AS semantic, round(motion_query, 9) + 0.0 AS motion_query, round(persistence, 9) + 0.0 AS persistence, round(graph, 9) + 0.0 AS graph FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id ORDER BY score DESC, frame_idx) AS rank FROM y) WHERE rank <= 5",
         ),
     ),
     "cache_answers": (cache_answers, None),
