@@ -162,6 +162,22 @@ def test_passage_of_frequent_lines(spark, docs_of):
     assert all(r.similarity == 1.0 and r.end_word - r.start_word >= 50 for r in got)
 
 
+@pytest.mark.parametrize(("before", "after", "piece"), [(6, 6, 45), (30, 30, 30), (15, 15, 42), (30, 30, 45)])
+def test_passage_whose_pieces_strangers_have(spark, docs_of, before, after, piece):
+    """Earlier and later documents hold pieces of a passage that are too short to be passages, and so all of its minima."""
+    rows = []
+    for k in range(15):
+        passage = prose(60, 100 + k).split()
+        for m in range(before + after):
+            at = (7 * m + k) % (60 - piece + 1)
+            rows.append((1000 * (k + 1) + m + (500 if m >= before else 0), " ".join([prose(40, 10**6 + 1000 * k + m), *passage[at : at + piece], prose(40, 2 * 10**6 + 1000 * k + m)])))
+        rows += [(1000 * (k + 1) + 400 + c, " ".join([prose(50, 3 * 10**6 + 10 * k + c), *passage, prose(50, 4 * 10**6 + 10 * k + c)])) for c in (0, 1)]
+    got = substring_dedup.repeated_passages(docs_of(rows)).collect()
+    found = {(r.doc_id, r.source_doc_id) for r in got if r.similarity == 1.0 and r.end_word - r.start_word >= 50}
+    assert found >= {(1000 * (k + 1) + 401, 1000 * (k + 1) + 400) for k in range(15)}
+    assert {(r.doc_id % 1000, r.source_doc_id % 1000) for r in got} <= {(401, 400)}
+
+
 def test_substring_stage_cuts_the_later_copies(spark, docs_of):
     passage, a, b = prose(70, 9), prose(60, 1), prose(60, 2)
     docs = docs_of([(1, f"{a} {passage}"), (2, f"{b}\n {passage} end é"), (3, None), (None, passage)])
