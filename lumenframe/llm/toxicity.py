@@ -57,8 +57,10 @@ STANDS_FOR = {
 SEPARATORS = ".,-_*~'’·:;/\\|^`\"=+ ­​‌‍⁠﻿"
 #: Costs of the channel, in nats.
 COST_STANDS, COST_SKIP, COST_COLLAPSE, COST_KEEP_SIGN = 1.0, 0.7, 0.6, 9.0
-#: Cost of an edge of a word within a run of letters set apart.
+#: Cost of an edge of a word within a run of letters set apart, and of a blank within a word.
 COST_EDGE = 1.0
+#: Log chance of a word's end below which the word may go on behind the blank.
+LOG_BROKEN = math.log(0.005)
 
 _CODE = np.full(0x10000, ALPHABET - 1, np.int32)
 for _i, _c in enumerate(LETTERS):
@@ -73,8 +75,17 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _LONG = re.compile(r"(.)\1{3,}", re.S)
 _DISGUISED = re.compile("[" + re.escape("".join(STANDS_FOR) + SEPARATORS.replace(" ", "")) + "]")
-#: Three or more single signs set apart by blanks or separators.
-_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(<])(?:[ \t.\-_*]{1,2}(?:[^\W_]|[@$!|+(<])){2,}(?!\S)")
+#: Signs that stand for a letter within a run of letters set apart, where they are set apart themselves.
+_SIGNS = "@$!|+(<"
+_ITEM = rf"(?:(?<![^\W_])[^\W_](?![^\W_])|(?<![^\s.\-_*])[{re.escape(_SIGNS)}](?![^\s.\-_*]))"
+#: Three or more single signs, set apart by any blanks, line ends and punctuation.
+_APART = re.compile(rf"{_ITEM}(?:[\W_]+?{_ITEM}){{2,}}")
+_SINGLE = re.compile(_ITEM)
+#: What a text has, at least, that has such a run without signs.
+_ROUGHLY_APART = re.compile(r"\b\w\b\W+\w\b\W+\w\b")
+_SIGN_TOKENS = set(_SIGNS)
+#: Signs that may stand for a word's first letter, or before the word.
+_OPENING = tuple(_SIGNS + "€£?")
 _EDGE = re.compile(r"^[^\w@$!|+(<€£]+|[^\w@$|+€£]+$")
 
 
@@ -130,30 +141,74 @@ class CharacterModel:
 
 
 class Restorer:
-    """Restores tokens; keeps the readings of as many tokens as `most`."""
+    """Restores tokens; keeps the readings of as many tokens as `most`, besides those of one text."""
 
     def __init__(self, model: CharacterModel, most: int = 300_000):
-        self.log, self.most, self.kept = model.log, most, {}
+        self.log, self.most = model.log, most
+        #: Readings of tokens, further ones without the signs before them, tokens that may go on, and what is kept for one text.
+        self.kept, self.bare, self.broken, self.passing, self.joined = {}, {}, set(), [], {}
 
     def word(self, token: str) -> str:
+        """The reading of a token. Signs before its letters may be letters or punctuation; bare has the latter reading."""
         word = self.kept.get(token)
         if word is None:
-            word = self._read(token)
-            if len(self.kept) < self.most:
-                self.kept[token] = word
+            if len(self.kept) >= self.most:
+                self.passing.append(token)
+            core = _EDGE.sub("", token)
+            word = self.kept[token] = self._read(core)
+            if core.startswith(_OPENING) and (bare := core.strip("".join(_OPENING))):
+                self.bare[token] = self._read(bare)
+            if word and token[-1].isalnum() and self._end(word) < LOG_BROKEN:
+                self.broken.add(token)
         return word
 
-    def _read(self, token: str) -> str:
-        core = _EDGE.sub("", token)
-        if not core:
-            return core
-        if len(core) > 60:  # the model might take a very long repetition for one of its own
-            core = _LONG.sub(r"\1\1\1", core)
+    def _end(self, letters: str) -> float:
+        """The log chance of a word's end behind the letters."""
+        context = 0
+        for c in letters[1 - ORDER :]:
+            context = context * ALPHABET + _INDEX.get(c, ALPHABET - 1)
+        return float(self.log[context, 0])
+
+    def _read(self, core: str) -> str:
         if _PLAIN.fullmatch(core) and not _TRIPLE.search(core) and not _DISGUISED.search(core):
             return core
-        if not any(c.isalpha() for c in core) and len(core) < 4 or core.isdigit():
-            return core
-        return self.viterbi(core)
+        if not any(c.isalpha() or c in STANDS_FOR and not c.isdigit() for c in core):
+            return core  # numbers, dates and rulers
+        # the model might take a very long repetition for one of its own
+        return self.viterbi(_LONG.sub(r"\1\1\1", core))
+
+    def _at(self, letters: str) -> list[float]:
+        """The log chance of each letter, a blank being an edge, and of the edge behind them."""
+        size, context, out = ALPHABET, 0, []
+        for c in letters + " ":
+            code = 0 if c == " " else _INDEX.get(c, size - 1)
+            out.append(float(self.log[context, code]))
+            context = context % size ** (ORDER - 2) * size + code
+        return out
+
+    def _join(self, a: str, b: str) -> str:
+        """The word that a blank has split into a and b, where it is likelier than the two; else nothing."""
+        key = (a, b)
+        word = self.joined.get(key)
+        if word is None:
+            x, y = self.bare.get(a, self.word(a)), self.word(b)
+            word = x + y if x and y and sum(self._at(x + y)) > sum(self._at(f"{x} {y}")) + COST_EDGE else ""
+            self.joined[key] = word
+        return word
+
+    def split_words(self, tokens: list[str]) -> Iterator[str]:
+        """Words that blanks have split, where a piece ends as words hardly ever do. Pieces of one
+        word follow each other, so each is put behind what the ones before it have become."""
+        behind, last = "", -1
+        for k, t in enumerate(tokens[:-1]):
+            if t in self.broken and tokens[k + 1][0].isalnum():
+                word = self._join(t, tokens[k + 1])
+                if word:
+                    yield word
+                    if last == k - 1 and behind:
+                        word = behind + self.word(tokens[k + 1])
+                        yield word
+                    behind, last = word, k
 
     def viterbi(self, token: str, edges: bool = False) -> str:
         """The likeliest letters behind the written ones; with edges, blanks may stand between them."""
@@ -206,21 +261,38 @@ class Restorer:
         text = text.lower()
         if not text.isascii():
             text = text.translate(_WIDE)
+        tokens = text.split()
+        distinct = set(tokens)
         get, kept = self.word, self.kept
-        found = {kept[t] if t in kept else get(t) for t in set(text.split())}
-        for m in _APART.finditer(text):
-            run = re.sub(r"[ \t.\-_*]", "", m[0])
-            if len(run) > 60:
-                run = _LONG.sub(r"\1\1\1", run)
-            found.add(self.viterbi(run) if not run.isdigit() else run)
-            # the run may hold more than one word, or begin with a word of one letter
-            for a in range(1, min(3, len(run) - 3)):
-                found.add(self.viterbi(run[a:]))
-            if not run.isdigit():
-                found.update(self.viterbi(run, True).split())
+        found = {kept[t] if t in kept else get(t) for t in distinct}
+        if not self.bare.keys().isdisjoint(distinct):
+            found.update(self.bare[t] for t in distinct if t in self.bare)
+        if not self.broken.isdisjoint(distinct):
+            found.update(self.split_words(tokens))
+        if self.passing or len(self.joined) > self.most:
+            for t in self.passing:
+                del kept[t]
+                self.bare.pop(t, None)
+                self.broken.discard(t)
+            self.passing, self.joined = [], {}
+        if not _SIGN_TOKENS.isdisjoint(distinct) or _ROUGHLY_APART.search(text.replace("_", " ")):
+            found.update(self.apart_words(text))
         found.discard("")
         return found
 
+    def apart_words(self, text: str) -> Iterator[str]:
+        """Words whose letters are set apart."""
+        for m in _APART.finditer(text):
+            run = _LONG.sub(r"\1\1\1", "".join(_SINGLE.findall(m[0])))
+            if not any(c.isalpha() or c in _SIGNS for c in run):
+                continue
+            # signs at its ends may be punctuation, and it may hold more than one word or begin with a word of one letter
+            for r in {run, run.strip(_SIGNS)} - {""}:
+                yield self.viterbi(r)
+                for a in range(1, min(3, len(r) - 3)):
+                    yield self.viterbi(r[a:])
+                yield from self.viterbi(r, True).split()
+
 
 def features(words: set[str]) -> set[str]:
     """Whole words; starts that one, two or three different words of the text have (so many marks)."""

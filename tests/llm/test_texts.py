@@ -76,6 +76,26 @@ def test_words_within_a_run_are_restored(restorer, written):
     assert "idiot" in restorer.words(f"so, {written} then")
 
 
+APART = ["i d i o t!", "xx i d i o t, you", "(i d i o t)", "i   d   i   o   t", "i\nd\ni\no\nt", "i\u00a0d\u00a0i\u00a0o\u00a0t", "i . d . i . o . t", "i, d, i, o, t", "i d i o t !", "i d ! o t?", "\"1 d 1 0 t\"", "i" + " " * 70 + "d i o t"]
+
+
+@pytest.mark.parametrize("written", [*APART, "idi ot", "idi ot.", "id1 0t", "(idiot)", "!idiot!", "|1d10t|", "idio" + "o" * 55 + "t", "idio" + "o" * 70 + "t"])
+def test_restored_whatever_stands_between_and_around(restorer, written):
+    assert "idiot" in restorer.words(f"the {written} was")
+
+
+@pytest.mark.parametrize("written", ["@$$", "he is an @$$!", "@ $ $", "$|!+"])
+def test_signs_alone_are_read(restorer, written):
+    assert all(w.isalpha() for w in restorer.words(written)) and restorer.words(written)
+
+
+def test_readings_do_not_depend_on_what_is_kept(restorer):
+    text = "an idi ot, 1d10t (idiot) of 10:30 and i d i o t!"
+    small = toxicity.Restorer(type("Model", (), {"log": restorer.log}), 1)
+    assert small.words("other text") and small.words(text) == restorer.words(text)
+    assert restorer.words("10:30 2024-05-01 1, 2, 3, 4") == {"10:30", "2024-05-01", "1", "2", "3", "4"}
+
+
 @pytest.mark.parametrize("token", ["1d10t", "a.b.c", "s-+a8", "w00t", "e33", "(l0ver", "p|g"])
 def test_viterbi_finds_the_best_of_all_readings(restorer, token):
     size, log = toxicity.ALPHABET, restorer.log
