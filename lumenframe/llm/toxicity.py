@@ -145,29 +145,41 @@ class Restorer:
 
     def __init__(self, model: CharacterModel, most: int = 300_000):
         self.log, self.most = model.log, most
-        #: Readings of tokens, further ones without the signs before them, tokens that may go on, and what is kept for one text.
-        self.kept, self.bare, self.broken, self.passing, self.joined = {}, {}, set(), [], {}
+        #: Readings of tokens, further ones without the signs before them, tokens that may go on, those known for one text only, pairs, endings.
+        self.kept, self.bare, self.broken, self.passing, self.joined, self.breaks = {}, {}, set(), [], {}, {}
 
     def word(self, token: str) -> str:
         """The reading of a token. Signs before its letters may be letters or punctuation; bare has the latter reading."""
         word = self.kept.get(token)
         if word is None:
-            if len(self.kept) >= self.most:
-                self.passing.append(token)
-            core = _EDGE.sub("", token)
-            word = self.kept[token] = self._read(core)
-            if core.startswith(_OPENING) and (bare := core.strip("".join(_OPENING))):
-                self.bare[token] = self._read(bare)
-            if word and token[-1].isalnum() and self._end(word) < LOG_BROKEN:
+            special = False
+            if token.isalpha() and token.isascii() and not _TRIPLE.search(token):
+                word = token
+            else:
+                core = _EDGE.sub("", token)
+                word = self._read(core)
+                if core.startswith(_OPENING) and (bare := core.strip("".join(_OPENING))):
+                    self.bare[token], special = self._read(bare), True
+            if word and token[-1].isalnum() and self._breaks(word[1 - ORDER :]):
                 self.broken.add(token)
+                special = True
+            if len(self.kept) < self.most:
+                self.kept[token] = word
+            elif special:
+                self.passing.append(token)
         return word
 
-    def _end(self, letters: str) -> float:
-        """The log chance of a word's end behind the letters."""
-        context = 0
-        for c in letters[1 - ORDER :]:
-            context = context * ALPHABET + _INDEX.get(c, ALPHABET - 1)
-        return float(self.log[context, 0])
+    def _breaks(self, last: str) -> bool:
+        """Whether words hardly ever end with these letters."""
+        breaks = self.breaks.get(last)
+        if breaks is None:
+            context = 0
+            for c in last:
+                context = context * ALPHABET + _INDEX.get(c, ALPHABET - 1)
+            breaks = bool(self.log[context, 0] < LOG_BROKEN)
+            if len(self.breaks) < self.most:
+                self.breaks[last] = breaks
+        return breaks
 
     def _read(self, core: str) -> str:
         if _PLAIN.fullmatch(core) and not _TRIPLE.search(core) and not _DISGUISED.search(core):
@@ -271,7 +283,6 @@ class Restorer:
             found.update(self.split_words(tokens))
         if self.passing or len(self.joined) > self.most:
             for t in self.passing:
-                del kept[t]
                 self.bare.pop(t, None)
                 self.broken.discard(t)
             self.passing, self.joined = [], {}
