@@ -41,10 +41,10 @@ def queries_of(spark: SparkSession, sf_dir: str, n: int = QUERIES) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def packet_curve(packets: DataFrame) -> DataFrame:
-    """packets(video_id, pts, size, is_keyframe) numbered 0.. by pts. Empty (flush) packets are dropped;
-    a null or repeated pts raises, as such a stream cannot be ordered."""
-    p = packets.filter("size > 0")
+def packet_curve(packets: DataFrame, flush: bool = True) -> DataFrame:
+    """packets(video_id, pts, size, is_keyframe) numbered 0.. by pts. Empty (flush) packets are dropped, unless the stream
+    has none (`flush` is False) and a size of 0 is that of a frame; a null or repeated pts raises, as such a stream cannot be ordered."""
+    p = packets.filter("size > 0") if flush else packets
     ordered = Window.partitionBy("video_id").orderBy("pts")
     sound = F.when(F.col("pts").isNull(), F.raise_error(F.lit("null pts"))).when(F.lag("pts").over(ordered) == F.col("pts"), F.raise_error(F.lit("repeated pts"))).otherwise(F.lit(True))
     return p.withColumn("sound", sound).filter("sound").select("video_id", (F.row_number().over(ordered) - 1).cast("bigint").alias("display_idx"), "pts", "size", "is_keyframe")
