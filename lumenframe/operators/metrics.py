@@ -193,7 +193,9 @@ def fidelity_margin(f: DataFrame) -> DataFrame:
     vectors are left out; a frame that is alone in its video has a null margin."""
 
     def unit(c: str) -> Column:
-        return F.transform(c, lambda y: y.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, z: s + z.cast("double") * z.cast("double"))))
+        # the length as an array beside the vector: inside the lambda it would be computed anew for every component
+        length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, z: s + z.cast("double") * z.cast("double")))
+        return F.zip_with(c, F.array_repeat(length, F.size(c)), lambda y, n: y.cast("double") / n)
 
     u = f.filter("caption_embedding is not null and clip_embedding is not null").select("video_id", "frame_idx", unit("caption_embedding").alias("cap"), unit("clip_embedding").alias("vis"))
     sums = u.select("video_id", F.posexplode("vis").alias("pos", "y")).groupBy("video_id", "pos").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
