@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Frames of a shard: its files are hashed whole, each in one task.
+SHARD = 200_000
 #: What frames of older versions lack (fixed values).
 DEFAULTS = {"divergence": 0.0, "curl": 0.0, "jacobian_frobenius": 0.0, "hessian_max_eigenvalue": 0.0, "motion_entropy": 0.0, "packet_size": 0.0, "pict_type": "?", "codec_conf": 0.5, "scene_id": -1}
 PARTS = ("frames", "edges")
@@ -39,14 +41,14 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(frames: DataFrame, edges: DataFrame, path: str, config: dict | None = None, shards: int | None = None) -> str:
     """Writes a new version and switches to it; its name is returned. A video's rows lie together and sorted, in one of `shards` files of many
-    videos. Readers see the old version until all files of the new one and their hashes are there; a job that dies leaves the old one."""
+    videos (more of them for more frames, so that a file stays small enough to be hashed in one task). Readers see the old version until all files of the new one and their hashes are there; a job that dies leaves the old one."""
     spark = frames.sparkSession
     version = uuid.uuid4().hex
     at = f"{path}/versions/{version}"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // SHARD))
     frames.repartition(shards, "video_id").sortWithinPartitions("video_id", "frame_idx").write.parquet(f"{at}/frames")
     edges.repartition(shards, "video_id").sortWithinPartitions("video_id", "src", "dst").write.parquet(f"{at}/edges")
-    hashes(spark, at).coalesce(1).write.parquet(f"{at}/manifest")
+    hashes(spark, at).repartition(1).write.parquet(f"{at}/manifest")
     _put(spark, f"{path}/CURRENT", json.dumps({"version": version, "config": config or {}}))
     return version
 
