@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import by_video, cosine, edge_weight, motion_similarity, norm, r6, temporal_proximity
 from ..sources.shared import written
-from .graph import _SIDE, ppr_seed
+from .graph import _SIDE, TILE, cosines, ppr_seed, unit_vectors
 from .ranking import pagerank_rounds
 from .retrieval import scene_centroids, with_similarity
 
@@ -93,26 +95,145 @@ def induced(edges: DataFrame, pool: DataFrame, scene: str = "label") -> DataFram
     return inside.select("video_id", F.explode(F.array_intersect("q_src", "q_dst")).alias("query_id"), "src", "dst", F.round("weight", 9).alias("weight"))
 
 
+#: A frame without a scene. Scenes that can be shortlisted are numbers from 0 on.
+_NONE = -(2**62)
+
+
+def _tied_ranks(x: np.ndarray) -> np.ndarray:
+    """Average-tied ranks in 0..1; one value alone is 0.5."""
+    if len(x) < 2:
+        return np.full(len(x), 0.5)
+    _, at, count = np.unique(x, return_inverse=True, return_counts=True)
+    first = np.cumsum(count) - count
+    return (first + (count - 1) / 2)[at] / (len(x) - 1)
+
+
+def _ranked_links(link: np.ndarray, seed: np.ndarray, damping: float, rounds: int) -> np.ndarray:
+    """G5 on a dense graph of one pool: the seeds take the mass of nodes without links."""
+    s = np.maximum(seed, 0)
+    s = s / s.sum() if s.sum() > 0 else np.full(len(s), 1 / len(s))
+    out = link.sum(axis=1)
+    step = np.divide(link, out[:, None], out=np.zeros_like(link), where=out[:, None] > 0).T
+    x, hangs = s, out == 0
+    for _ in range(rounds):
+        x = damping * (step @ x + x[hangs].sum() * s) + (1 - damping) * s
+    return x
+
+
+def _of_videos(n: DataFrame, queries: DataFrame, edges: DataFrame, mode: str, percentile: float, scene: str, width: int | None, floor: float, tau: float, window: int, top_k: int, weight: float, damping: float, rounds: int) -> DataFrame:
+    """scene_sparse_retrieve() of videos of up to TILE frames, each in one group: its vectors are sent once, for all queries, and neither
+    similarities by query nor pairs of frames are shuffled. The queries are the small set that they are everywhere."""
+    asked = sorted((r.query_id, np.array([float(x) for x in r.q])) for r in queries.collect())
+    ids = [k for k, _ in asked]
+    wanted = np.array([q / np.sqrt(np.einsum("i,i->", q, q)) for _, q in asked])
+
+    def found(g: dict, e: np.ndarray, raw: np.ndarray, inside: np.ndarray, cross: np.ndarray, frames: np.ndarray, q: np.ndarray):
+        sem, of, conf = cosines(e, q[None])[:, 0], g["label"], g["conf"]
+        scenes = [(k, raw[of == k].sum(axis=0) / (of == k).sum()) for k in np.unique(of[of >= 0])]
+        lengths = [np.sqrt(np.einsum("i,i->", c, c)) for _, c in scenes]
+        near = sorted((-round(float(np.einsum("i,i->", c, q) / m) if m > 0 else 0.0, 6), k) for (k, c), m in zip(scenes, lengths, strict=True))
+        most = width or max(4, int(np.ceil(np.sqrt(len(near)))))
+        listed = np.isin(of, [k for _, k in near[:most]])
+        survives = listed if listed.any() and sem[listed].max() >= floor else of >= 0
+        if not survives.any():
+            return "shortcut", np.zeros(0, int), np.zeros(0)
+        live = np.flatnonzero(survives)
+        by_best = live[np.lexsort((frames[live], -sem[live]))]
+        heads = by_best[np.unique(of[by_best], return_index=True)[1]]
+        heads = heads[np.lexsort((of[heads], -sem[heads]))]
+        if len(heads) < 2 or sem[heads[0]] - sem[heads[1]] > tau:
+            return "shortcut", live, sem[live]
+        pool = np.flatnonzero(survives | (np.abs(frames - frames[heads[0]]) <= window))
+        link = np.where(of[pool][:, None] != of[pool], cross[np.ix_(pool, pool)], 0.0)
+        upper = np.triu(of[pool][:, None] != of[pool], 1)
+        some = of[pool] != _NONE
+        upper &= some[:, None] & some
+        if mode == "threshold" and upper.any():
+            cut = np.sort(link[upper])
+            at = (len(cut) - 1) * percentile / 100
+            low = int(at)
+            upper &= link >= cut[low] + (cut[min(low + 1, len(cut) - 1)] - cut[low]) * (at - low)
+        elif mode == "rep_only":
+            ordered = pool[np.lexsort((frames[pool], -sem[pool]))]
+            rep = np.isin(pool, ordered[np.unique(of[ordered], return_index=True)[1]])
+            upper &= rep[:, None] & rep
+        link = np.where(upper, link, 0.0)
+        link = link + link.T + np.where((of[pool][:, None] == of[pool]) & some[:, None], inside[np.ix_(pool, pool)], 0.0)
+        seed = weight * _tied_ranks(sem[pool]) + (1 - weight) * _tied_ranks(conf[pool])
+        return "descend", pool, _ranked_links(link, seed, damping, rounds)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.filter(left["clip_embedding"].is_valid()) if len(left) else left
+        out = {c: [] for c in ("video_id", "query_id", "branch", "frame_idx", "value")}
+        if len(left):
+            left = left.sort_by("frame_idx")
+            frames = left["frame_idx"].to_numpy()
+            g = {"label": left[scene].fill_null(_NONE).to_numpy(), "conf": left["codec_conf"].to_numpy()}
+            e = unit_vectors(left["clip_embedding"])
+            raw = np.array(left["clip_embedding"].to_pylist(), float)
+            score, span = left["action_score"].to_numpy(), left["score_range"][0].as_py()
+            motion = np.ones((len(e), len(e))) if span == 0 else np.maximum(0.0, 1 - np.abs(score[:, None] - score) / span)
+            cross = np.round(0.4 * np.maximum(0.0, cosines(e, e)) + 0.3 * motion, 9)
+            inside = np.zeros(cross.shape)
+            src, dst, w = (right[c].to_numpy() for c in ("src", "dst", "weight"))
+            sound = np.isin(src, frames) & np.isin(dst, frames) & (w > 0)
+            a, b, w = np.searchsorted(frames, src[sound]), np.searchsorted(frames, dst[sound]), np.round(w[sound], 9)
+            np.add.at(inside, (a, b), w)
+            np.add.at(inside, (b, a), w)
+            for k, q in zip(ids, wanted, strict=True):
+                branch, at, value = found(g, e, raw, inside, cross, frames, q)
+                # a few more than asked for, as values that differ after the sixth digit tie
+                keep = np.sort(np.lexsort((frames[at], -np.round(value, 6)))[: top_k + 3])
+                out["video_id"] += [left["video_id"][0].as_py()] * len(keep)
+                out["query_id"] += [k] * len(keep)
+                out["branch"] += [branch] * len(keep)
+                out["frame_idx"] += frames[at[keep]].tolist()
+                out["value"] += value[keep].tolist()
+        return pa.table(out, schema=pa.schema([("video_id", pa.int64()), ("query_id", pa.int64()), ("branch", pa.string()), ("frame_idx", pa.int64()), ("value", pa.float64())]))
+
+    side = n.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col(scene).cast("long").alias(scene), F.col("codec_conf").cast("double").alias("codec_conf"), F.col("action_score").cast("double").alias("action_score"), F.col("score_range").cast("double").alias("score_range"), "clip_embedding")
+    links = edges.select(F.col("video_id").alias("video_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    ranked = side.groupBy("video_id").cogroup(links.groupBy("video_id")).applyInArrow(one, "video_id long, query_id long, branch string, frame_idx long, value double")
+    return ranked.select("video_id", "query_id", "branch", "frame_idx", r6(F.col("value")).alias("score"))
+
+
 def scene_sparse_retrieve(
     n: DataFrame, queries: DataFrame, edges: DataFrame, mode: str = "rep_only", percentile: float = 75.0, scene: str = "label", width: int | None = None,
-    floor: float = 0.2, tau: float = 0.015, window: int = 30, top_k: int = 5, weight: float = 0.5, damping: float = 0.5, ranker=None,
+    floor: float = 0.2, tau: float = 0.015, window: int = 30, top_k: int = 5, weight: float = 0.5, damping: float = 0.5, ranker=None, rounds: int | None = None,
 ) -> DataFrame:
     """(video_id, query_id, branch, rank, frame_idx, score) of nodes n (graph.nodes() rows with codec_conf and a scene).
 
     Shortcuts return the most similar survivors. Queries that descend rank their pool by PageRank from seeds in the pool, over the edges inside
     scenes and those of `mode` between them. Ties go to the earlier frame. `ranker(seeds, edges, damping)` replaces the
-    loop of joins; both take any number of queries. A query without direction raises.
+    loop of joins; both take any number of queries. A query without direction raises. With a number of `rounds`, videos of up to TILE frames are
+    one group each, and only larger ones go by joins; the results are the same.
     """
-    found = gated(shortlisted(n, valid_queries(queries), scene, width, floor), scene, tau)
-    gate = written(found.select("video_id", "query_id", "frame_idx", scene, "sem", "codec_conf", "survives", "anchor", "branch"), "gate")
-    pool = pools(gate, scene, window)
-    linked = induced(edges, pool, scene).unionByName(cross_scene_edges(pool, n, mode, percentile, scene))
-    seeds = ppr_seed(pool, weight=weight).select("video_id", "query_id", "frame_idx", "seed")
-    ranker = ranker or (lambda s, e, d: pagerank_rounds(s, e, ["video_id", "query_id"], "seed", d))
-    descended = ranker(seeds, linked, damping).select("video_id", "query_id", "frame_idx", r6(F.col("pagerank")).alias("score"), F.lit("descend").alias("branch"))
-    short = gate.filter("branch = 'shortcut' and survives").select("video_id", "query_id", "frame_idx", r6(F.col("sem")).alias("score"), "branch")
-    best = Window.partitionBy("video_id", "query_id").orderBy(F.desc("score"), "frame_idx")
-    return short.unionByName(descended).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "branch", "rank", "frame_idx", "score")
+    if mode not in MODES:
+        raise ValueError(f"unknown cross-scene mode {mode}")
+    queries, best = valid_queries(queries), Window.partitionBy("video_id", "query_id").orderBy(F.desc("score"), "frame_idx")
+
+    def joined(n: DataFrame, edges: DataFrame) -> DataFrame:
+        found = gated(shortlisted(n, queries, scene, width, floor), scene, tau)
+        gate = written(found.select("video_id", "query_id", "frame_idx", scene, "sem", "codec_conf", "survives", "anchor", "branch"), "gate")
+        pool = pools(gate, scene, window)
+        linked = induced(edges, pool, scene).unionByName(cross_scene_edges(pool, n, mode, percentile, scene))
+        seeds = ppr_seed(pool, weight=weight).select("video_id", "query_id", "frame_idx", "seed")
+        by_rounds = ranker or (lambda s, e, d: pagerank_rounds(s, e, ["video_id", "query_id"], "seed", d))
+        descended = by_rounds(seeds, linked, damping).select("video_id", "query_id", "frame_idx", r6(F.col("pagerank")).alias("score"), F.lit("descend").alias("branch"))
+        short = gate.filter("branch = 'shortcut' and survives").select("video_id", "query_id", "frame_idx", r6(F.col("sem")).alias("score"), "branch")
+        return short.unionByName(descended)
+
+    if rounds is None:
+        found = joined(n, edges)
+    else:
+        large = F.broadcast(written(n.groupBy("video_id").count().filter(F.col("count") > TILE).select("video_id"), "large"))
+        some = not large.isEmpty()
+        rest = (lambda df: df.join(large, "video_id", "left_anti")) if some else (lambda df: df)
+        found = _of_videos(rest(n), queries, rest(edges), mode, percentile, scene, width, floor, tau, window, top_k, weight, damping, rounds)
+        if some:
+            more = joined(n.join(large, "video_id", "left_semi"), edges.join(large, "video_id", "left_semi"))
+            found = found.unionByName(more.select(*found.columns))
+    return found.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "branch", "rank", "frame_idx", "score")
 
 
 def scene_bimodality(f: DataFrame, scene: str = "label", improvement: float = 0.05, least: int = 6) -> DataFrame:

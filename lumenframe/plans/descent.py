@@ -32,7 +32,7 @@ def _grouped(seeds, edges, damping):
 def scene_descend(mode, ranker=_grouped):
     def run(s, d):
         n = S.codec_conf(_nodes_once(s, d))
-        return P.scene_sparse_retrieve(n, queries_of(s, d), _dedup(n), mode, ranker=ranker)
+        return P.scene_sparse_retrieve(n, queries_of(s, d), _dedup(n), mode, ranker=ranker, rounds=30)
 
     return run
 
