@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, written
+from .graph import pagerank
 
 #: Edges of a node that one task reads; a node with more is split over several.
 EDGES_A_PART = 10_000
+#: Nodes and edges up to which a whole graph is one group of a task; larger ones go by a loop of joins.
+A_GROUP = 200_000
 
 
 def pagerank_seeds(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
@@ -43,14 +46,27 @@ def pagerank_seeds(seeds: DataFrame, edges: DataFrame, damping: float, rounds: i
     return left.cogroup(edges.select(F.col("video_id").alias("video_id"), "src", "dst", "weight").groupBy("video_id")).applyInPandas(one, "video_id long, query_id long, frame_idx long, pagerank double")
 
 
-def pagerank_rounds(nodes: DataFrame, edges: DataFrame, keys: list[str], seed: str, damping: float = 0.85, tolerance: float = 1e-9, most: int = 300, a_part: int = EDGES_A_PART) -> DataFrame:
+def pagerank_rounds(nodes: DataFrame, edges: DataFrame, keys: list[str], seed: str, damping: float = 0.85, tolerance: float = 1e-9, most: int = 300, a_part: int = EDGES_A_PART, a_group: int = A_GROUP) -> DataFrame:
     """G5, G6 for graphs of any size: keys and frame_idx of nodes with their pagerank. nodes(keys, frame_idx, seed) are distinct,
     edges(keys, src, dst, weight) undirected; those without weight or with an end that is no node don't count.
 
     A round is a join of ranks and shares and a sum by target, which starts before the shuffle. A node of many edges is dealt over
     parts, its rank being copied to each. Every round's ranks are written; it ends when no graph's ranks moved by
     more than `tolerance` together (L1), or after `most` rounds. Mass of nodes without edges goes to the seeds, which are uniform where they sum to 0.
+    Graphs of up to `a_group` nodes and edges have no use for that: each is one group of a task, is shuffled once and does its rounds there.
     """
+    nodes = nodes.select(*keys, "frame_idx", F.col(seed).cast("double").alias(seed))
+    edges = written(edges.filter("weight > 0").select(*keys, "src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
+    sizes = nodes.select(*keys).unionByName(edges.select(*keys)).groupBy(*keys).count()
+    large = written(sizes.filter(F.col("count") > a_group).select(*keys), "large")
+    alone = lambda df, how: df.join(F.broadcast(large), keys, how)
+    if large.isEmpty():
+        return pagerank(nodes, edges, seed, damping, most, tuple(keys), tolerance)
+    small = pagerank(alone(nodes, "left_anti"), alone(edges, "left_anti"), seed, damping, most, tuple(keys), tolerance)
+    return small.unionByName(_by_joins(alone(nodes, "left_semi"), alone(edges, "left_semi"), keys, seed, damping, tolerance, most, a_part))
+
+
+def _by_joins(nodes: DataFrame, edges: DataFrame, keys: list[str], seed: str, damping: float, tolerance: float, most: int, a_part: int) -> DataFrame:
     totals = nodes.groupBy(*keys).agg(F.sum(F.greatest(F.col(seed).cast("double"), F.lit(0.0))).alias("mass"), F.count(F.lit(1)).alias("n"))
     seeds = nodes.join(totals, keys).select(*keys, "frame_idx", F.when(F.col("mass") > 0, F.greatest(F.col(seed).cast("double"), F.lit(0.0)) / F.col("mass")).otherwise(1 / F.col("n")).alias("s"))
     ids = nodes.select(*keys, "frame_idx")
