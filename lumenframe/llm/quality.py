@@ -2,9 +2,9 @@
 
 The vocabulary is the most frequent words of trusted text, up to a bound; other words are the class of their shape.
 Counts of trusted text are summed in shards by bigram; joins of the shards with their
-contexts' and continuations' statistics give the probabilities. Bigrams up to a bound, the most frequent
-ones, keep a probability of their own, the others' mass goes to the lower order. The finished table is bounded by that
-and goes to the scan of all documents, whose texts and n-grams are therefore not shuffled. A document is
+contexts' and continuations' statistics give the probabilities. The most frequent bigrams, up to a bound, go to the
+scan of all documents, whose texts are therefore not shuffled. The others have their probabilities, too: the scan
+gives out what a document has of them, and only that meets their table in a join. A document is
 kept if its log perplexity is within its language's quantile over trusted documents that the model was not counted on.
 """
 
@@ -16,18 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, table, written
-from .minhash import bit_filter
+from .minhash import bit_filter, filter_place
 
-#: Words of the vocabulary, shapes included, and bigrams with a probability of their own (8 bytes each, in each
-#: Python worker): bounds of memory. A pair of words is a 32-bit number, so the vocabulary is 65,536 at most.
+#: Words of the vocabulary, shapes included, and bigrams that the scan holds (8 bytes each, in each
+#: Python worker; the others are joined): bounds of memory. A pair of words is a 32-bit number, so the vocabulary is 65,536 at most.
 VOCABULARY, BIGRAMS = 65_536, 6_000_000
 #: Quantile of trusted documents; width of a bin of the log perplexities in which quantiles are counted; of so many
 #: trusted documents one is held out from the counts, for the quantiles.
 QUANTILE, BIN, FOLDS = 0.995, 0.002, 5
+#: Unit of the joined logs, whose sums are whole numbers and so the same in any order.
+GAIN = 1e-9
 #: Trusted documents that a language needs for a quantile of its own: with fewer, that of all
 #: languages holds.
 LEAST_TRUSTED = 50
@@ -109,9 +112,10 @@ def _discounts(counts: dict[int, int]) -> list[float]:
     return [min(max(d, 0.1), k + 0.95) for k, d in enumerate(raw)]
 
 
-def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS):
+def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS, rest: bool = False):
     """From bigrams(a, b, n): (cells a * size + b and p of the seen bigrams, up to `most`, the most frequent; the weight of each
-    context's lower order; the lower order), by joins of count shards."""
+    context's lower order; the lower order), by joins of count shards. The mass of bigrams beyond `most` goes to the lower order. With `rest`
+    nothing is cut: a pair of that and of the others as written rows (cell, gain), by how many GAIN their logs exceed those of the lower order, or None."""
     bigrams = written(bigrams, "bigrams")
     of_counts = lambda df: {r["n"]: r["k"] for r in df.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
     d = _discounts(of_counts(bigrams))
@@ -119,7 +123,7 @@ def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS):
     while bigrams.filter(F.col("n") >= least).count() > most:
         least += 1 if least < 8 else least // 4
     # of a bigram without a probability of its own all is cut
-    cut = F.when(F.col("n") < least, F.col("n")).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    cut = F.when(F.lit(not rest) & (F.col("n") < least), F.col("n")).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     contexts = bigrams.groupBy("a").agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
     follows = written(bigrams.groupBy("b").agg(F.count("*").alias("n")), "continuations")
     e = _discounts(of_counts(follows))
@@ -127,8 +131,12 @@ def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS):
     kinds, freed = kinds or 1, freed or 1.0
     off = F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2])
     lower = follows.select("b", (F.greatest(F.col("n") - off, F.lit(0.0)) / kinds + freed / kinds / size).alias("q"))
-    seen = bigrams.filter(F.col("n") >= least).join(contexts, "a").join(lower, "b")
-    seen = seen.select((F.col("a").cast("long") * size + F.col("b")).alias("cell"), ((F.col("n") - cut + F.col("freed") * F.col("q")) / F.col("total")).cast("float").alias("p"))
+    cell, own = (F.col("a").cast("long") * size + F.col("b")).alias("cell"), (F.col("n") - cut + F.col("freed") * F.col("q")) / F.col("total")
+    seen = bigrams.filter(F.col("n") >= least).join(contexts, "a").join(lower, "b").select(cell, own.cast("float").alias("p"))
+    others = None
+    if rest and least > 1:
+        gain = F.log(own) - F.log(F.col("freed") / F.col("total")) - F.log("q")
+        others = written(bigrams.filter(F.col("n") < least).join(contexts, "a").join(lower, "b").select(cell, F.round(gain / GAIN).cast("long").alias("gain")), "rest")
     p, c, q = seen.toArrow(), contexts.toArrow(), lower.toArrow()  # at most `most`, size and size rows
     for df in (bigrams, follows):
         drop_written(df)
@@ -138,7 +146,8 @@ def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS):
     base[q["b"].to_numpy()] = q["q"].to_numpy()
     cells = p["cell"].to_numpy().astype(np.uint32)
     order = np.argsort(cells)
-    return cells[order], p["p"].to_numpy()[order], back, base
+    tables = cells[order], p["p"].to_numpy()[order], back, base
+    return (tables, others) if rest else tables
 
 
 class Model:
@@ -149,39 +158,69 @@ class Model:
         self.back, self.base = np.log(back), np.log(base)
 
     def log(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        out = self.back[before] + self.base[after]
-        if len(self.cells):
-            code = (before * self.size + after).astype(np.uint32)
-            at = np.minimum(np.searchsorted(self.cells, code), len(self.cells) - 1)
-            hit = self.cells[at] == code
-            out[hit] = self.logs[at[hit]]
-        return out
+        return self.found(before, after)[0]
 
+    def found(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs, and the cells that are not in the table and have those of the lower order."""
+        out, code = self.back[before] + self.base[after], before * self.size + after
+        if not len(self.cells):
+            return out, code
+        at = np.minimum(np.searchsorted(self.cells, code.astype(np.uint32)), len(self.cells) - 1)
+        hit = self.cells[at] == code
+        out[hit] = self.logs[at[hit]]
+        return out, code[~hit]
+
+
+_SCORED = "doc_id long, lang string, place long, logs double, n long, cells array<struct<cell:long,times:long>>"
+
+
+def _score(words: list[str], sent, bits: np.ndarray | None = None):
+    """By row its place, tokens and log probability by the model's table, and the cells that may be among the others (bits over them), with their numbers."""
+    kind = pa.list_(pa.struct([("cell", pa.int64()), ("times", pa.int64())]))
 
-def _score(words: list[str], sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, model = Ids(words), Model(*sent.value)
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
+            logs, n, cells = [], [], []
             for text in batch.column(2).to_pylist():
                 x = ids.of(text) if text else ()
-                if len(x):
-                    logs = model.log(np.concatenate([[0], x]), np.concatenate([x, [0]]))
-                    out.append(-float(logs.sum()) / len(logs))
-                else:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["doc_id", "lang", "log_perplexity"])
+                n.append(len(x) + 1 if len(x) else None)
+                cells.append([])
+                if not len(x):
+                    logs.append(None)
+                    continue
+                found, missed = model.found(np.concatenate([[0], x]), np.concatenate([x, [0]]))
+                logs.append(float(found.sum()))
+                if bits is not None and len(missed):
+                    missed, times = np.unique(missed, return_counts=True)
+                    at = filter_place(missed, bits)
+                    some = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                    cells[-1] = [{"cell": c, "times": k} for c, k in zip(missed[some].tolist(), times[some].tolist(), strict=True)]
+            places = pa.array(np.arange(place, place + len(n)))
+            place += len(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, pa.array(logs, pa.float64()), pa.array(n, pa.int64()), pa.array(cells, kind)], ["doc_id", "lang", "place", "logs", "n", "cells"])
 
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, quantile: float = QUANTILE) -> DataFrame:
+def _perplexities(scan: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """(doc_id, lang, log_perplexity) of _score() rows: what their cells gain among the others is added."""
+    if rest is None:
+        return scan.select("doc_id", "lang", (-F.col("logs") / F.col("n")).alias("log_perplexity"))
+    asked = scan.select("place", F.explode("cells").alias("c")).select("place", "c.cell", "c.times")
+    gained = asked.join(rest, "cell").groupBy("place").agg(F.sum(F.col("times") * F.col("gain")).alias("gained"))
+    logs = F.col("logs") + F.coalesce("gained", F.lit(0)) * GAIN
+    return scan.drop("cells").join(gained, "place", "left").select("doc_id", "lang", (-logs / F.col("n")).alias("log_perplexity"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, quantile: float = QUANTILE, most: int = BIGRAMS) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): doc_id, lang, log_perplexity (per token), threshold, kept.
 
     Trusted text is that of the documents with quality 1 in labels. A null text and one without tokens has
     a null perplexity and is not kept; a null language is one of its own; a language with fewer than
     LEAST_TRUSTED trusted documents that are held out takes the threshold of all; without such everything with tokens is kept.
-    Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
+    `most` bigrams are held by the scan and the others joined; the results are the same. Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     trusted = written(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
@@ -194,8 +233,15 @@ def quality(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, qu
     words = top.toArrow()["word"].to_pylist()
     kinds = len(SHAPES) + len(words)
     bigrams = source.mapInArrow(_bigram_counts(words), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    sent = docs.sparkSession.sparkContext.broadcast(kneser_ney(bigrams, kinds))
-    scored = written(docs.mapInArrow(_score(words, sent), "doc_id long, lang string, log_perplexity double"), "scored")
+    tables, rest = kneser_ney(bigrams, kinds, most, True)
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    scored = written(docs.mapInArrow(_score(words, sent, None if rest is None else bit_filter(rest, "cell")), _SCORED), "scan")
+    if rest is not None:
+        scan, scored = scored, written(_perplexities(scored, rest), "scored")
+        for df in (scan, rest):
+            drop_written(df)
+    else:
+        scored = _perplexities(scored, None)
 
     drop_written(source)
     known = scored.filter("log_perplexity is not null").join(trusted, "doc_id").filter(held_out).select(F.coalesce("lang", F.lit("")).alias("l"), F.ceil(F.col("log_perplexity") / BIN).alias("bin"))

@@ -201,6 +201,14 @@ def test_kneser_ney_equals_the_formula(spark):
             assert np.exp(model.log(np.array([a]), np.array([b])))[0] == pytest.approx(want, rel=1e-5), (a, b)
 
 
+def test_quality_does_not_depend_on_the_bigrams_that_the_scan_holds(spark):
+    rows = [(i, prose(40, i), "en") for i in range(150)] + [(200, None, "en"), (201, "one two", "en"), (7, prose(40, 7), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    whole, few, none = ({(r.doc_id, r.log_perplexity and round(r.log_perplexity, 5), r.kept) for r in quality.quality(df, labels, most=most).collect()} for most in (10**6, 200, 0))
+    assert whole == few == none and len(whole) == 152
+
+
 @pytest.mark.parametrize("seed, n", [(0, 1), (1, 40), (2, 3000)])
 def test_patterns_cover_the_demand(seed, n):
     r = np.random.default_rng(seed)
