@@ -236,14 +236,61 @@ def scene_sparse_retrieve(
     return found.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "branch", "rank", "frame_idx", "score")
 
 
-def scene_bimodality(f: DataFrame, scene: str = "label", improvement: float = 0.05, least: int = 6) -> DataFrame:
+#: Vectors of a video up to which its scenes are halved in one group; those of larger ones meet in shuffles.
+A_VIDEO = 20_000
+
+
+def _mean_cosine(e: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    lengths = np.sqrt(np.einsum("ik,ik->i", e, e)) * np.sqrt(np.einsum("k,k->", centre, centre))
+    return np.divide(np.einsum("ik,k->i", e, centre), lengths, out=np.zeros(len(e)), where=lengths > 0)
+
+
+def _halved(t: pa.Table) -> pa.Table:
+    """scene_bimodality()'s sums of one video's scenes; vectors are of one length and finite."""
+    t = t.sort_by([("scene_id", "ascending"), ("frame_idx", "ascending")])
+    scenes, begin = np.unique(t["scene_id"].to_numpy(), return_index=True)
+    every = t["e"].combine_chunks()
+    every = (pa.concat_arrays(every.chunks) if isinstance(every, pa.ChunkedArray) else every).flatten().to_numpy(False).astype(float).reshape(len(t), -1)
+    out = []
+    for e in np.split(every, begin[1:]):
+        n, centre = len(e), e.mean(axis=0)
+        x = np.round(e[:, np.argmax(np.round(((e - centre) ** 2).mean(axis=0), 9))], 9)
+        order, k = np.argsort(x, kind="stable"), np.arange(1, n)
+        left, total = np.cumsum(x[order])[:-1], x.sum()
+        cut = int(np.argmax(np.round(left * left / k + (total - left) * (total - left) / (n - k), 9))) + 1 if n > 1 else n
+        halves = [e[order[:cut]], e[order[cut:]]]
+        out.append((n, _mean_cosine(e, centre).mean(), sum(_mean_cosine(h, h.mean(axis=0)).sum() for h in halves if len(h)) / n))
+    frames, mean, within = zip(*out, strict=True)
+    return pa.table([pa.repeat(t["video_id"][0], len(scenes)), pa.array(scenes), pa.array(frames, pa.int64()), pa.array(mean, pa.float64()), pa.array(within, pa.float64())], names=["video_id", "scene_id", "frames", "mean_cosine", "within"])
+
+
+def scene_bimodality(f: DataFrame, scene: str = "label", improvement: float = 0.05, least: int = 6, a_video: int = A_VIDEO) -> DataFrame:
     """(video_id, scene_id, frames, mean_cosine, within_cosine, bimodal): whether two clusters hold a scene's vectors more tightly than its
     centroid, by more than `improvement` of mean cosine. Fewer than `least` vectors have no verdict.
 
     The clusters are the exact two-means of the vectors' values on the axis of largest variance (ties: the first): a sort and prefix
     sums find the best cut, at costs to nine digits, the earliest among equals. No iteration and no seed, so a scene may have any size.
+    A video of up to `a_video` vectors of one length is one group, to which they are sent once; others go by shuffles of their components.
     """
     key = ["video_id", "scene_id"]
+    v = f.filter(F.col("video_id").isNotNull() & F.col("clip_embedding").isNotNull() & (F.col(scene) >= 0)).select(F.col("video_id").cast("long").alias("video_id"), F.col(scene).cast("long").alias("scene_id"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col("clip_embedding").alias("e"))
+    inf = F.lit(float("inf"))
+    # array_contains is null for an array with a null that does not hold the value
+    plain = (F.array_max("e") < inf) & (F.array_min("e") > -inf) & F.array_contains("e", inf.cast(f.schema["clip_embedding"].dataType.elementType)).isNotNull()
+    size = F.size("e")
+    others = v.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("a"), F.max(size).alias("b"), F.bool_and(F.coalesce(plain, F.lit(False))).alias("plain"))
+    others = F.broadcast(written(others.filter((F.col("n") > a_video) | (F.col("a") < F.col("b")) | ~F.col("plain")).select("video_id"), "others"))
+    some = not others.isEmpty()
+    found = (v.join(others, "video_id", "left_anti") if some else v).groupBy("video_id").applyInArrow(_halved, "video_id long, scene_id long, frames long, mean_cosine double, within double")
+    if some:
+        found = found.unionByName(_halved_by_joins(f.join(others, "video_id", "left_semi"), scene))
+    enough = F.col("frames") >= least
+    return found.select("video_id", F.col("scene_id").cast(f.schema[scene].dataType).alias("scene_id"), "frames", r6(F.col("mean_cosine")).alias("mean_cosine"), F.when(enough, r6(F.col("within"))).alias("within_cosine"), F.when(enough, F.round(F.col("within") - F.col("mean_cosine"), 9) > improvement).alias("bimodal"))
+
+
+def _halved_by_joins(f: DataFrame, scene: str) -> DataFrame:
+    """_halved() of videos with scenes of any size and vectors of any kind."""
+    key = ["video_id", "scene_id"]
     v = f.filter(F.col("clip_embedding").isNotNull() & (F.col(scene) >= 0)).select("video_id", F.col(scene).alias("scene_id"), "frame_idx", F.transform("clip_embedding", lambda y: y.cast("double")).alias("e"))
     cells = v.select(*key, F.posexplode("e").alias("pos", "x")).groupBy(*key, "pos").agg(F.avg("x").alias("mean"), F.round(F.var_pop("x"), 9).alias("var"))
     of_scene = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("means"), F.max(F.struct("var", (-F.col("pos")).alias("neg"))).alias("top"))
@@ -257,9 +304,7 @@ def scene_bimodality(f: DataFrame, scene: str = "label", improvement: float = 0.
     cut = at.withColumn("n", n).withColumn("k", k).withColumn("gain", F.round(gain, 9))
     cut = cut.withColumn("best", F.max(F.when(F.col("gain").isNotNull(), F.struct("gain", (-F.col("k")).alias("neg")))).over(whole)).withColumn("side", F.coalesce((F.col("k") <= -F.col("best.neg")).cast("int"), F.lit(0)))
     halves = cut.select(*key, "side", F.posexplode("e").alias("pos", "y")).groupBy(*key, "side", "pos").agg(F.avg("y").alias("mean")).groupBy(*key, "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("centre"))
-    near = cut.join(halves, [*key, "side"]).groupBy(*key).agg(F.count(F.lit(1)).alias("frames"), F.avg("to_centroid").alias("mean_cosine"), F.avg(cosine(F.col("e"), F.col("centre"))).alias("within"))
-    enough = F.col("frames") >= least
-    return near.select(*key, "frames", r6(F.col("mean_cosine")).alias("mean_cosine"), F.when(enough, r6(F.col("within"))).alias("within_cosine"), F.when(enough, F.round(F.col("within") - F.col("mean_cosine"), 9) > improvement).alias("bimodal"))
+    return cut.join(halves, [*key, "side"]).groupBy(*key).agg(F.count(F.lit(1)).alias("frames"), F.avg("to_centroid").alias("mean_cosine"), F.avg(cosine(F.col("e"), F.col("centre"))).alias("within"))
 
 
 def time_subsample(f: DataFrame, step: float = 2.0, most: int = 50) -> DataFrame:
