@@ -13,8 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str, embeddings: bool = False) -> DataFrame:
-    """The frame model over events: a video is a user, frames are ordered by (ts, event_id)."""
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What frames(embeddings="ids") refer to by vec_id."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def frames(spark: SparkSession, sf_dir: str, embeddings: bool | str = False) -> DataFrame:
+    """The frame model over events: a video is a user, frames are ordered by (ts, event_id). With embeddings they have vec_id, label and
+    clip_embedding; with "ids" the vectors themselves stay in their table."""
     e = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "B").otherwise("P")
@@ -33,7 +39,7 @@ def frames(spark: SparkSession, sf_dir: str, embeddings: bool = False) -> DataFr
     if embeddings:
         v = table(spark, sf_dir, "embeddings")
         n = v.count()
-        f = f.withColumn("vec_id", F.col("event_id") % n).join(v.select("vec_id", F.col("embedding").alias("clip_embedding"), F.col("label").cast("int").alias("label")), "vec_id", "left")
+        f = f.withColumn("vec_id", F.col("event_id") % n).join(v.select("vec_id", *([] if embeddings == "ids" else [F.col("embedding").alias("clip_embedding")]), F.col("label").cast("int").alias("label")), "vec_id", "left")
     return f
 
 
