@@ -36,6 +36,8 @@ FOLDS = 5
 STARTS = (4, 5, 6)
 #: Chance per run that a feature of the lexicon is there by accident, as a log.
 LOG_FALSE = math.log(0.05)
+#: Bounds of memory of a Python worker, for speed alone: readings of tokens, parts of words and counted features that are held at once, and texts of a batch.
+READINGS, PARTS, COUNTED, TEXTS = 100_000, 100_000, 100_000, 500
 #: Different words of a text with the same start that make further features.
 MOST_MARKS = 3
 #: Ridge penalty of the lexicon's weights; score where there is nothing to learn from, as log odds.
@@ -100,16 +102,13 @@ def count_cells(text: str, total: np.ndarray) -> None:
         for k in range(1, ORDER):
             cell *= ALPHABET
             cell += codes[k : len(codes) - ORDER + 1 + k]
-        if len(cell) > 200_000:
-            total += np.bincount(cell, minlength=CELLS)
-        else:
-            np.add.at(total, cell, 1)
+        np.add.at(total, cell, 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     texts, size = [], 0
-    for batch in batches:
+    for batch in _slices(batches):
         for text in batch.column(0).to_pylist():
             if text:
                 texts.append(text)
@@ -131,19 +130,23 @@ class CharacterModel:
         full = np.zeros(CELLS, np.float32)
         full[cells] = counts
         p = np.full(ALPHABET, 1 / ALPHABET, np.float32)
-        for order in range(1, ORDER + 1):
-            c = full.reshape([ALPHABET ** (ORDER - order), ALPHABET ** (order - 1), ALPHABET]).sum(0)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            lower = p.reshape(-1, ALPHABET)
-            lower = np.tile(lower, (c.shape[0] // lower.shape[0], 1))
-            p = (c + np.maximum(kinds, 1) * lower) / (total + np.maximum(kinds, 1))
-        self.log = np.log(p).astype(np.float32)
+
+        def smoothed(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
+            total, kinds = c.sum(1, keepdims=True), np.maximum((c > 0).sum(1, keepdims=True), 1)
+            return (c + kinds * np.tile(lower, (c.shape[0] // lower.shape[0], 1))) / (total + kinds)
+
+        for order in range(1, ORDER):
+            p = smoothed(full.reshape([ALPHABET ** (ORDER - order), ALPHABET ** (order - 1), ALPHABET]).sum(0), p.reshape(-1, ALPHABET))
+        # the highest order by its first symbol and in place, as double copies of all cells would be a worker's largest arrays
+        p, self.log = p.reshape(-1, ALPHABET), full.reshape(-1, ALPHABET)
+        for at in range(0, len(self.log), len(p)):
+            self.log[at : at + len(p)] = np.log(smoothed(self.log[at : at + len(p)], p))
 
 
 class Restorer:
     """Restores tokens; keeps the readings of as many tokens as `most`, besides those of one text."""
 
-    def __init__(self, model: CharacterModel, most: int = 300_000):
+    def __init__(self, model: CharacterModel, most: int = READINGS):
         self.log, self.most = model.log, most
         #: Readings of tokens, further ones without the signs before them, tokens that may go on, those known for one text only, pairs, endings.
         self.kept, self.bare, self.broken, self.passing, self.joined, self.breaks = {}, {}, set(), [], {}, {}
@@ -319,17 +322,30 @@ def _unpack(model) -> CharacterModel:
     return CharacterModel(cells, counts)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _feature_counts(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(_unpack(model))
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+
+        def out():
+            for toxic, held in enumerate(seen):
+                if held:
+                    n, none = pa.array(list(held.values()), pa.int64()), pa.array(np.zeros(len(held), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *((n, none) if toxic else (none, n))], ["feature", "toxic", "clean"])
+                    held.clear()
+
+        for batch in _slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(features(restorer.words(text or "")))
-        names = list(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][x] for x in part], pa.int64()), pa.array([seen[0][x] for x in part], pa.int64())], ["feature", "toxic", "clean"])
+                if len(seen[0]) + len(seen[1]) > COUNTED:
+                    yield from out()
+        yield from out()
 
     return run
 
@@ -354,7 +370,7 @@ class Lexicon:
             if parts is None:
                 parts = self._parts(w)
                 parts = () if parts == (None,) else parts
-                if len(kept) < 400_000:
+                if len(kept) < PARTS:
                     kept[w] = parts
             if parts:
                 if parts[0]:
@@ -395,7 +411,7 @@ def _logistic(rows: list[list[int]], toxic: np.ndarray, n: int, ridge: float = R
 def _scores(model, lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, known = Restorer(_unpack(model)), Lexicon(*lexicon.value)
-        for batch in batches:
+        for batch in _slices(batches):
             scores = [known.score(restorer.words(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -405,7 +421,7 @@ def _scores(model, lexicon):
 def _hits(model, lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, known = Restorer(_unpack(model)), Lexicon(*lexicon.value)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [known.found(restorer.words(t or "")) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
 

@@ -2,10 +2,13 @@
 
 import hashlib
 import json
+import tracemalloc
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -367,3 +370,38 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 2048
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert set(pieces.doc_id) <= set(texts)
+
+
+def test_toxicity_does_not_depend_on_what_is_held_at_once(spark, docs_of, monkeypatch):
+    rows = [(i, prose(30, i) + (" vrolumb" if i % 4 == 0 else "") + (" v r o l u m b" if i % 9 == 0 else " vr0lumb" if i % 11 == 0 else "")) for i in range(300)]
+    df, labels = docs_of(rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    want = toxicity.toxicity_scores(df, labels).collect()
+    sizes = []
+    cells = toxicity.CharacterModel(np.arange(100), np.ones(100))
+    monkeypatch.setattr(toxicity, "COUNTED", 50)
+    monkeypatch.setattr(toxicity, "_unpack", lambda model: cells)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows]), pa.array([i % 2 for i, _ in rows])], ["text", "toxic"])
+    counted = Counter()
+    for out in toxicity._feature_counts(None)(iter([batch])):
+        sizes.append(len(out))
+        for f, t, c in zip(*(out.column(k).to_pylist() for k in range(3)), strict=True):
+            counted[f, 1] += t
+            counted[f, 0] += c
+    restorer, seen = toxicity.Restorer(cells), Counter()
+    for i, t in rows:
+        seen.update((f, i % 2) for f in toxicity.features(restorer.words(t)))
+    assert +counted == +seen and max(sizes) < 600
+    small = toxicity.Restorer(cells, 5)
+    assert [small.words(t) for _, t in rows] == [restorer.words(t) for _, t in rows]
+    assert len(want) == 300 and {r.predicted for r in want if r.doc_id % 4 == 0} == {1}
+
+
+def test_the_character_model_needs_few_copies_of_its_cells():
+    cells = np.random.default_rng(3).choice(toxicity.CELLS, 50_000, False)
+    tracemalloc.start()
+    log = toxicity.CharacterModel(cells, np.arange(50_000) % 40 + 1).log
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * log.nbytes and log.dtype == np.float32
+    # every context's chances sum to 1
+    assert np.exp(log[::997].astype(float)).sum(1) == pytest.approx(np.ones(len(log[::997])), abs=1e-5)
