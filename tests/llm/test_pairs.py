@@ -134,6 +134,27 @@ def test_repeated_passages(spark, docs_of):
     assert substring_dedup.repeated_passages(docs_of(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("step", ["_chunks", "_short_tokens"])
+def test_passages_hand_few_texts_at_once_to_a_worker(spark, monkeypatch, step):
+    real = getattr(substring_dedup, step)
+
+    def few(batches):
+        for batch in batches:
+            assert batch.num_rows <= 1000
+            yield batch
+
+    def checked(*args):  # of _chunks the rows, of the others a function of them
+        return real(few(args[0]), *args[1:]) if step == "_chunks" else lambda batches: real(*args)(few(batches))
+
+    monkeypatch.setattr(substring_dedup, step, checked)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    same = prose(60, 5)
+    rows = spark.range(0, 1300, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit(same + " "), F.col("id").cast("string")).alias("text"))
+    assert substring_dedup.repeated_passages(rows).count() >= 1299
+    assert spark.conf.get(key) == before
+
+
 def test_near_passages_of_least_length_equal_brute_force(spark, docs_of):
     rows = []
     for k in range(400):  # 50 words with one changed (0.804), or 51 with one missing (0.824)
