@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import drop_written, table, written
 from .minhash import bit_filter, filter_place
 
-#: Words of the vocabulary, shapes included, and bigrams that the scan holds (8 bytes each, in each
+#: Words of the vocabulary, shapes included, and bigrams that the scan holds (8 bytes each, 4 of one seen once, in each
 #: Python worker; the others are joined): bounds of memory. A pair of words is a 32-bit number, so the vocabulary is 65,536 at most.
 VOCABULARY, BIGRAMS = 65_536, 6_000_000
 #: Quantile of trusted documents; width of a bin of the log perplexities in which quantiles are counted; of so many
@@ -31,6 +31,7 @@ VOCABULARY, BIGRAMS = 65_536, 6_000_000
 QUANTILE, BIN, FOLDS = 0.995, 0.002, 5
 #: Unit of the joined logs, whose sums are whole numbers and so the same in any order.
 GAIN = 1e-9
+_PLACES = 1 << 20
 #: Trusted documents that a language needs for a quantile of its own: with fewer, that of all
 #: languages holds.
 LEAST_TRUSTED = 50
@@ -114,17 +115,18 @@ def _discounts(counts: dict[int, int]) -> list[float]:
 
 def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS, rest: bool = False):
     """From bigrams(a, b, n): (cells a * size + b and p of the seen bigrams, up to `most`, the most frequent; the weight of each
-    context's lower order; the lower order), by joins of count shards. The mass of bigrams beyond `most` goes to the lower order. With `rest`
-    nothing is cut: a pair of that and of the others as written rows (cell, gain), by how many GAIN their logs exceed those of the lower order, or None."""
+    context's lower order; the lower order), by count shards that meet their words' statistics (`size` rows, broadcast). The mass of bigrams beyond `most` goes to the lower order. With `rest`
+    nothing is cut: a pair of that, with the cells of the bigrams seen once and what such a one has of its own by context (these take half the room and count as half), and of the
+    others as written rows (cell, gain), by how many GAIN their logs exceed those of the lower order, or None."""
     bigrams = written(bigrams, "bigrams")
     of_counts = lambda df: {r["n"]: r["k"] for r in df.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
     d = _discounts(of_counts(bigrams))
-    least = 1
-    while bigrams.filter(F.col("n") >= least).count() > most:
+    least = 2 if rest else 1
+    while (above := bigrams.filter(F.col("n") >= least).count()) > most:
         least += 1 if least < 8 else least // 4
     # of a bigram without a probability of its own all is cut
     cut = F.when(F.lit(not rest) & (F.col("n") < least), F.col("n")).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    contexts = bigrams.groupBy("a").agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
+    contexts = written(bigrams.groupBy("a").agg(F.sum("n").alias("total"), F.sum(cut).alias("freed")), "contexts")
     follows = written(bigrams.groupBy("b").agg(F.count("*").alias("n")), "continuations")
     e = _discounts(of_counts(follows))
     kinds, freed = follows.agg(F.sum("n"), F.sum(F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2]))).first()
@@ -132,13 +134,19 @@ def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS, rest: bool =
     off = F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2])
     lower = follows.select("b", (F.greatest(F.col("n") - off, F.lit(0.0)) / kinds + freed / kinds / size).alias("q"))
     cell, own = (F.col("a").cast("long") * size + F.col("b")).alias("cell"), (F.col("n") - cut + F.col("freed") * F.col("q")) / F.col("total")
-    seen = bigrams.filter(F.col("n") >= least).join(contexts, "a").join(lower, "b").select(cell, own.cast("float").alias("p"))
+    known = lambda df: df.join(F.broadcast(contexts), "a").join(F.broadcast(lower), "b")
+    seen = known(bigrams.filter(F.col("n") >= (max(least, 2) if rest else least))).select(cell, own.cast("float").alias("p"))
+    # of those seen once as many as the room left holds
+    room, ones = 2 * (most - above) if least == 2 else 0, bigrams.filter("n = 1").count() if rest else 0
+    share = _PLACES if ones <= room else _PLACES * room // ones
+    held = (F.col("n") == 1) & (F.pmod(F.xxhash64("a", "b"), F.lit(_PLACES)) < share)
+    once = bigrams.filter(held if rest else F.lit(False)).select((cell - (1 << 31)).cast("int").alias("cell"))
     others = None
-    if rest and least > 1:
+    if rest and (least > 2 or share < _PLACES):
         gain = F.log(own) - F.log(F.col("freed") / F.col("total")) - F.log("q")
-        others = written(bigrams.filter(F.col("n") < least).join(contexts, "a").join(lower, "b").select(cell, F.round(gain / GAIN).cast("long").alias("gain")), "rest")
-    p, c, q = seen.toArrow(), contexts.toArrow(), lower.toArrow()  # at most `most`, size and size rows
-    for df in (bigrams, follows):
+        others = written(known(bigrams.filter((F.col("n") < least) & ~held)).select(cell, F.round(gain / GAIN).cast("long").alias("gain")), "rest")
+    p, c, q, o = seen.toArrow(), contexts.toArrow(), lower.toArrow(), once.toArrow()  # at most `most`, size, size and twice `most` rows
+    for df in (bigrams, follows, contexts):
         drop_written(df)
     back = np.ones(size)
     back[c["a"].to_numpy()] = c["freed"].to_numpy() / c["total"].to_numpy()
@@ -147,28 +155,39 @@ def kneser_ney(bigrams: DataFrame, size: int, most: int = BIGRAMS, rest: bool =
     cells = p["cell"].to_numpy().astype(np.uint32)
     order = np.argsort(cells)
     tables = cells[order], p["p"].to_numpy()[order], back, base
-    return (tables, others) if rest else tables
+    if not rest:
+        return tables
+    alone = np.zeros(size)
+    alone[c["a"].to_numpy()] = (1 - d[0]) / c["total"].to_numpy()
+    return (*tables, np.sort((o["cell"].to_numpy().astype(np.int64) + (1 << 31)).astype(np.uint32)), alone), others
 
 
 class Model:
     """Logs of the probabilities of pairs of word numbers."""
 
-    def __init__(self, cells: np.ndarray, p: np.ndarray, back: np.ndarray, base: np.ndarray):
+    def __init__(self, cells: np.ndarray, p: np.ndarray, back: np.ndarray, base: np.ndarray, once: np.ndarray | None = None, alone: np.ndarray | None = None):
         self.cells, self.logs, self.size = cells, np.log(p), len(back)
-        self.back, self.base = np.log(back), np.log(base)
+        self.back, self.base, self.once, self.alone = np.log(back), np.log(base), once, alone
 
     def log(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return self.found(before, after)[0]
 
     def found(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logs, and the cells that are not in the table and have those of the lower order."""
+        """Logs, and the cells that are in no table and have those of the lower order."""
         out, code = self.back[before] + self.base[after], before * self.size + after
-        if not len(self.cells):
-            return out, code
-        at = np.minimum(np.searchsorted(self.cells, code.astype(np.uint32)), len(self.cells) - 1)
-        hit = self.cells[at] == code
-        out[hit] = self.logs[at[hit]]
-        return out, code[~hit]
+        left = np.arange(len(code))
+        if len(self.cells):
+            at = np.minimum(np.searchsorted(self.cells, code.astype(np.uint32)), len(self.cells) - 1)
+            hit = self.cells[at] == code
+            out[hit] = self.logs[at[hit]]
+            left = np.flatnonzero(~hit)
+        if self.once is not None and len(self.once) and len(left):
+            asked = code[left]
+            hit = self.once[np.minimum(np.searchsorted(self.once, asked.astype(np.uint32)), len(self.once) - 1)] == asked
+            seen = left[hit]
+            out[seen] = np.log(self.alone[before[seen]] + np.exp(out[seen]))
+            left = left[~hit]
+        return out, code[left]
 
 
 _SCORED = "doc_id long, lang string, place long, logs double, n long, cells array<struct<cell:long,times:long>>"

@@ -204,6 +204,18 @@ def test_kneser_ney_equals_the_formula(spark):
             assert np.exp(model.log(np.array([a]), np.array([b])))[0] == pytest.approx(want, rel=1e-5), (a, b)
 
 
+def test_bigrams_seen_once_take_half_the_room(spark):
+    counts = spark.createDataFrame(COUNTS, "a int, b int, n long")
+    ones = sum(n == 1 for *_, n in COUNTS)
+    tables, others = quality.kneser_ney(counts, 5, len(COUNTS) - ones // 2, True)
+    assert ones > 1 and others is None and len(tables[0]) == len(COUNTS) - ones and len(tables[4]) == ones
+    before, after = (x.ravel() for x in np.divmod(np.arange(25), 5))
+    assert quality.Model(*tables).log(before, after) == pytest.approx(quality.Model(*quality.kneser_ney(counts, 5)).log(before, after), rel=1e-6)
+    for most in range(len(COUNTS) - ones, len(COUNTS) - ones // 2):
+        tables, others = quality.kneser_ney(counts, 5, most, True)
+        assert len(tables[4]) + (others.count() if others else 0) == ones
+
+
 def test_quality_does_not_depend_on_the_bigrams_that_the_scan_holds(spark):
     rows = [(i, prose(40, i), "en") for i in range(150)] + [(200, None, "en"), (201, "one two", "en"), (7, prose(40, 7), "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
