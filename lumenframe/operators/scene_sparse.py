@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -236,6 +238,186 @@ def scene_sparse_retrieve(
     return found.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_k).select("video_id", "query_id", "branch", "rank", "frame_idx", "score")
 
 
+#: Numbers in a table of vectors up to which every task holds it; frames meet a larger one in a shuffle and carry its rows.
+A_TABLE = 4_000_000
+#: Videos whose pools are ranked at once.
+AT_ONCE = 512
+_REPS = "video_id long, query_id long, branch string, scene_id int, frame_idx long, value double"
+
+
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of numbers as rows, with zeros for what they lack; which numbers they have, and their sizes (0 for null)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes, values = column.value_lengths().fill_null(0).to_numpy(False).astype(int), column.flatten()
+    held = np.arange(width) < sizes[:, None]
+    x = np.zeros(held.shape)
+    x[held] = values.to_numpy(False)
+    if values.null_count:
+        held[held] = values.is_valid().to_numpy(False)
+        x[~held] = 0.0
+    return x, held, sizes
+
+
+def _merged(g: dict) -> dict:
+    """Rows of scenes (a frame is one, too) to one row a scene, in order of videos and scenes: sums and counts of vectors, and of each query the most similar frame, the
+    earlier of equals. `at` is that frame's vector among `e`."""
+    order = np.lexsort((g["scene"], g["video"]))
+    video, scene = g["video"][order], g["scene"][order]
+    first = np.flatnonzero(np.r_[True, (video[1:] != video[:-1]) | (scene[1:] != scene[:-1])])
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    sem = g["sem"][order]
+    top = np.maximum.reduceat(sem, first)
+    frame = np.where(sem == top[of], g["frame"][order], np.iinfo(np.int64).max)
+    row = np.where(frame == np.minimum.reduceat(frame, first)[of], np.arange(len(order))[:, None], len(order))
+    row, query = order[np.minimum.reduceat(row, first)], np.arange(sem.shape[1])
+    best = {c: g[c][row, query] for c in ("frame", "conf", "action", "at")}
+    sums = {c: np.add.reduceat(g[c][order], first) for c in ("sum", "count")}
+    return {"video": video[first], "scene": scene[first], "span": g["span"][order][first], "size": np.maximum.reduceat(g["size"][order], first), "sem": top, "e": g["e"], **best, **sums}
+
+
+def _joined(a: dict, b: dict) -> dict:
+    return {c: np.concatenate([a[c], b[c] + len(a["e"]) if c == "at" else b[c]]) for c in a}
+
+
+def _some(g: dict, rows: np.ndarray) -> dict:
+    """Rows of scenes with the vectors that they refer to."""
+    at, place = np.unique(g["at"][rows], return_inverse=True)
+    return {**{c: x[rows] for c, x in g.items() if c != "e"}, "at": place.reshape(g["at"][rows].shape), "e": g["e"][at]}
+
+
+def _percent(x: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """W6 of every row's real values."""
+    less, same = (f(x[..., None, :], x[..., :, None]) & real[..., None, :] for f in (np.less, np.equal))
+    n = real.sum(axis=-1, keepdims=True)
+    return np.where(n > 1, (less.sum(axis=-1) + (same.sum(axis=-1) - 1) / 2) / np.maximum(n - 1, 1), 0.5)
+
+
+def _shortlisted_scenes(g: dict, asked: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each video and query the places of the best scenes by centroid, and how many are real. A centroid that lacks a component or has another length than the query is at 0."""
+    known = g["count"] > 0
+    centre = np.divide(g["sum"], g["count"], out=np.zeros_like(g["sum"]), where=known)
+    sound = (known | (np.arange(known.shape[1]) >= g["size"][:, None])).all(axis=1)
+    norms = np.sqrt(np.einsum("sk,sk->s", centre, centre))[:, None] * np.sqrt(np.einsum("qk,qk->q", asked, asked))
+    cos = np.divide(np.einsum("sk,qk->sq", centre, asked), norms, out=np.zeros_like(norms), where=(norms > 0) | np.isnan(norms))
+    score = np.round(np.where(sound[:, None] & (g["size"][:, None] == lengths), cos, 0.0), 6) + 0.0
+    score = np.where(np.isnan(score), np.inf, score)
+    _, first, n = np.unique(g["video"], return_index=True, return_counts=True)
+    slots = np.minimum(first[:, None] + np.arange(width), len(score) - 1)
+    return np.stack([np.lexsort((g["scene"], -score[:, k], g["video"]))[slots] for k in range(len(asked))], axis=1), n
+
+
+def _descended(g: dict, slots: np.ndarray, n: np.ndarray, floor: float, margin: float, weight: float, damping: float, rounds: int) -> tuple[np.ndarray, ...]:
+    """Branch and value of the pools at `slots`(video, query, place): a pool's frames are all linked, and all pools do their rounds at once."""
+    query = np.arange(slots.shape[1])[:, None]
+    real = np.broadcast_to((np.arange(slots.shape[2]) < n[:, None])[:, None], slots.shape)
+    sem, conf, action, at = (g[c][slots, query] for c in ("sem", "conf", "action", "at"))
+    ordered = -np.sort(-np.where(real, sem, -np.inf), axis=-1)
+    best, second = ordered[..., 0], ordered[..., 1] if slots.shape[2] > 1 else np.full(slots.shape[:2], -np.inf)
+    lead = np.where(np.isinf(best), np.inf, best - np.where(np.isinf(best), 0.0, second))
+    branch = np.where(best < floor, "fallback", np.where(lead >= margin, "shortcut", "descend"))
+
+    seed = np.where(real, weight * _percent(sem, real) + (1 - weight) * _percent(conf, real), 0.0)
+    mass, count = seed.sum(axis=-1, keepdims=True), real.sum(axis=-1, keepdims=True)
+    seed = np.where(mass > 0, seed / np.where(mass > 0, mass, 1), real / count)
+    e = g["e"][at]
+    length = np.sqrt(np.einsum("...k,...k->...", e, e))[..., None]
+    e = np.divide(e, length, out=np.zeros_like(e), where=(length > 0) | np.isnan(length))
+    span = g["span"][slots[:, :1, :1]][..., None]
+    motion = np.where(span == 0, 1.0, np.maximum(0.0, 1 - np.abs(action[..., :, None] - action[..., None, :]) / np.where(span == 0, 1.0, span)))
+    link = 0.4 * np.maximum(0.0, np.einsum("vqik,vqjk->vqij", e, e)) + 0.3 * motion
+    link = np.where(real[..., :, None] & real[..., None, :] & ~np.eye(slots.shape[2], dtype=bool) & (link > 0), link, 0.0)
+    out = link.sum(axis=-1, keepdims=True)
+    step, hangs = np.divide(link, out, out=np.zeros_like(link), where=out > 0), out[..., 0] == 0
+    x = seed
+    for _ in range(rounds):
+        x = damping * (np.einsum("vqi,vqij->vqj", x, step) + (x * hangs).sum(axis=-1, keepdims=True) * seed) + (1 - damping) * seed
+    return real, branch, np.where((branch == "descend")[..., None], x, np.where(np.isinf(sem), np.nan, sem))
+
+
+def descend_reps(
+    n: DataFrame, queries: DataFrame, vectors: DataFrame, width: int = 4, floor: float = 0.20, margin: float = 0.05, weight: float = 0.5, damping: float = 0.5, rounds: int = 30
+) -> DataFrame:
+    """G8 over one frame a scene: (video_id, query_id, branch, scene_id, frame_idx, score) of the most similar frames of the `width` best scenes by centroid. A query that
+    descends ranks them by PageRank on all edges between them (J12, rep_only); otherwise the score is the similarity.
+
+    n(video_id, frame_idx, label, vec_id, action_score, score_range, codec_conf) refer to vectors(vec_id, embedding). Frames are shuffled once, by video, and read in
+    order of videos, in batches; what is kept of an unfinished video is a row a scene, so neither its length nor the number of videos and queries makes a group.
+    """
+    list_of = queries.agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("_asked"))
+    asked = list_of.first()["_asked"]
+    ids, size = [r.query_id for r in asked], vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    d = max(size["d"] or 0, 1)
+    plain = [r.q is not None and 0 < len(r.q) <= d and None not in r.q for r in asked]
+    wanted = np.array([[*map(float, r.q), *[0.0] * (d - len(r.q))] if ok else [0.0] * d for r, ok in zip(asked, plain, strict=True)]).reshape(-1, d)
+    lengths = np.array([len(r.q) if ok else -1 for r, ok in zip(asked, plain, strict=True)])
+    scored = vectors.filter("vec_id is not null").crossJoin(F.broadcast(list_of)).select("vec_id", "embedding", F.transform("_asked", lambda s: cosine(F.col("embedding"), s["q"])).alias("sems"))
+    rows = n.filter(F.col("video_id").isNotNull() & (F.col("label") >= 0)).select(F.col("video_id").cast("long").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col("label").cast("int").alias("label"), F.col("vec_id").cast("long").alias("vec_id"), *[F.col(c).cast("double").alias(c) for c in ("action_score", "score_range", "codec_conf")])
+
+    def parsed(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        e, held, sizes = _padded(t["embedding"], d)
+        whole = held.sum(axis=1) == sizes
+        return e, held, sizes, whole, _padded(t["sems"], len(ids))[0]
+
+    if size["n"] * d <= A_TABLE:
+        t = scored.toArrow().sort_by("vec_id")
+        # one row more, without a vector, for frames that refer to none
+        known = [np.concatenate([x, np.zeros((1, *x.shape[1:]), x.dtype)]) for x in parsed(t)]
+        table = n.sparkSession.sparkContext.broadcast((t["vec_id"].to_numpy(), known))
+    else:
+        table = None
+        rows = rows.join(scored, "vec_id", "left")
+
+    def of_batch(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        if table is None:
+            return parsed(b)
+        keys, known = table.value
+        if not len(keys):
+            return tuple(x[np.zeros(b.num_rows, int)] for x in known)
+        key = b["vec_id"].fill_null(0).to_numpy(False)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        at = np.where((keys[at] == key) & b["vec_id"].is_valid().to_numpy(False), at, len(keys))
+        return tuple(x[at] for x in known)
+
+    def frames_of(b: pa.RecordBatch) -> dict:
+        e, held, sizes, whole, sem = of_batch(b)
+        one = lambda x: np.broadcast_to(x[:, None], sem.shape)
+        col = lambda c: b[c].to_numpy(False)
+        # a vector that holds a null counts for its scene's centroid, but is like no other
+        alone = e if whole.all() else np.where(whole[:, None], e, 0.0)
+        # in order, NaN is above all numbers
+        near = np.where(np.isnan(sem), np.inf, sem)
+        return {"video": col("video_id"), "scene": col("label"), "span": col("score_range"), "size": sizes, "sem": near, "frame": one(col("frame_idx")), "conf": one(col("codec_conf")), "action": one(col("action_score")), "at": one(np.arange(b.num_rows)), "sum": e, "count": held.astype(float), "e": alone}
+
+    def finished(g: dict) -> Iterator[pa.RecordBatch]:
+        listed = g["size"] > 0
+        if not listed.any():
+            return
+        g = {c: x if c == "e" else x[listed] for c, x in g.items()}
+        slots, scenes = _shortlisted_scenes(g, wanted, lengths, width)
+        for begin in range(0, len(slots), AT_ONCE):
+            s = slots[begin : begin + AT_ONCE]
+            real, branch, value = _descended(g, s, scenes[begin : begin + AT_ONCE], floor, margin, weight, damping, rounds)
+            v, q, _ = np.nonzero(real)
+            yield pa.RecordBatch.from_arrays([pa.array(g["video"][s[real]]), pa.array(np.array(ids, np.int64)[q]), pa.array(branch[v, q]), pa.array(g["scene"][s[real]], pa.int32()), pa.array(g["frame"][s[real], q]), pa.array(value[real])], names=[c.strip().split(" ")[0] for c in _REPS.split(",")])
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows or not ids:
+                continue
+            g = _merged(frames_of(b))
+            g = _merged(_joined(rest, g)) if rest else g
+            last = g["video"] == g["video"][-1]
+            if not last.all():
+                yield from finished({c: x if c == "e" else x[~last] for c, x in g.items()})
+            rest = _some(g, last)
+        if rest:
+            yield from finished(rest)
+
+    found = rows.repartition("video_id").sortWithinPartitions("video_id").mapInArrow(ranked, _REPS)
+    return found.select("video_id", "query_id", "branch", "scene_id", "frame_idx", r6(F.col("value")).alias("score"))
+
+
 #: Vectors of a video up to which its scenes are halved in one group; those of larger ones meet in shuffles.
 A_VIDEO = 20_000
 
